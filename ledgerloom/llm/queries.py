@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, packing, piece_codec, sharding, url_filters
+from ledgerloom.llm import exact_dedup, minhash, packing, piece_codec, sharding, url_filters
 from ledgerloom.llm.common import table
 
 
@@ -25,11 +25,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixture_packing, op5_piece_codec, op6_minimax_shards, op8_url_filters, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_mixture_packing, op5_piece_codec, op6_minimax_shards, op8_url_filters, op9_minhash_groups, op10_exact_dedup)}
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
