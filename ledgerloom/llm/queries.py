@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, minhash, packing, piece_codec, sharding, url_filters
+from ledgerloom.llm import exact_dedup, minhash, packing, piece_codec, sharding, suffix_dedup, url_filters
 from ledgerloom.llm.common import table
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
@@ -33,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixture_packing, op5_piece_codec, op6_minimax_shards, op8_url_filters, op9_minhash_groups, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_suffix_repeats, op4_mixture_packing, op5_piece_codec, op6_minimax_shards, op8_url_filters, op9_minhash_groups, op10_exact_dedup)}
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
