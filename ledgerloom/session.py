@@ -21,3 +21,19 @@ def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: i
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so they need no path of the driver's machine."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerloom_shipped", False):
+        return
+    import os
+    import shutil
+    import tempfile
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom")
+    archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(here), base_dir=os.path.basename(here))
+    context.addPyFile(archive)
+    context._ledgerloom_shipped = True
