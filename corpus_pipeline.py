@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import exact_dedup, language_id, minhash, packing, suffix_dedup
 from ledgerloom.llm.common import stash, table
 
-STAGES: list = []
+
+def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language no evidence makes likely go."""
+    return language_id.drop_rejected(docs, declared=F.col("lang"), host=F.col("source"), pages=table(spark, sf_dir, "pages"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return minhash.drop_near_copies(docs, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that a document with a smaller id has are cut out."""
+    return suffix_dedup.drop_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences, mixed in proportion to the sources."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+STAGES = [
+    ("language_id", accept_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack),
+]
 #: SQL cannot express the language model, the signatures and the tokenizer; tests hold the rows against plain Python.
 ORACLE_SQL = None
 

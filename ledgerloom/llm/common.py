@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import ship_package
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,6 +49,7 @@ def parts(spark: SparkSession) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts travel to Python workers in batches of at most ``rows`` documents, which bounds a worker's memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -78,5 +81,6 @@ def by_group(
         if held and (out := fn(last, pa.Table.from_batches(held))) is not None:
             yield out
 
+    ship_package(df.sparkSession)
     dealt = df.repartition(key) if n is None else df.repartition(n, key)
     return dealt.sortWithinPartitions(key).mapInArrow(run, schema)

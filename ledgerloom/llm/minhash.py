@@ -56,24 +56,31 @@ class Banding:
 _words: dict[bytes, int] = {}
 
 
-def shingles(text: str, size: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text's words (A-Z lower-cased, split at ASCII white space)."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, by way of a bounded cache."""
     import xxhash
 
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
     if len(_words) > WORDS_CACHED:
         _words.clear()
     for w in set(words).difference(_words):
         _words[w] = xxhash.xxh3_64_intdigest(w)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(ids) - size + 1)
-    out = np.full(n, min(size, len(ids)), np.uint64)
-    for k in range(min(size, len(ids))):
-        out = (out ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words; of the whole sequence if it is shorter."""
+    size = min(size, len(ids))
+    out = np.full(len(ids) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = (out ^ ids[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str, size: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text's words (A-Z lower-cased, split at ASCII white space)."""
+    words = text.encode().lower().split()
+    return np.unique(window_hashes(word_hashes(words), size)) if words else np.empty(0, np.uint64)
 
 
 def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

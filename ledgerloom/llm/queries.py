@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, minhash, packing, piece_codec, sharding, suffix_dedup, url_filters
+from ledgerloom.llm import cotraining, exact_dedup, language_id, minhash, packing, piece_codec, quality_rules, sharding, suffix_dedup, url_filters
 from ledgerloom.llm.common import table
 
 
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, declared=F.col("lang"), host=F.col("source"), pages=table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
@@ -25,6 +35,11 @@ def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("capacity")
 
 
+def op7_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -37,7 +52,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_repeats, op4_mixture_packing, op5_piece_codec, op6_minimax_shards, op8_url_filters, op9_minhash_groups, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_fusion, op2_suffix_repeats, op3_cotrained_quality, op4_mixture_packing, op5_piece_codec, op6_minimax_shards,
+        op7_ngram_ratio_rules, op8_url_filters, op9_minhash_groups, op10_exact_dedup,
+    )
+}
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

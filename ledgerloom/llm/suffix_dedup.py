@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import by_group, parts, small_batches
+from ledgerloom.session import ship_package
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a chunk, windows that are sorted at once, and bytes of text hashed at once.
@@ -247,6 +248,7 @@ def remove_repeats(
     are judged as they came. Null text is empty; a null id counts as larger than any other; rows that repeat an id are
     one document to each other (none removes from the other); other columns are ignored; no rows give no rows.
     """
+    ship_package(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = buckets = max(parts(docs.sparkSession), -(-total // CHUNK_BYTES))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
