@@ -9,7 +9,11 @@ shuffle of texts, no group in one task. A queue that runs dry ends a phase; the
 
 from __future__ import annotations
 
+import array
+import json
 import os
+import re
+import sys
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Mapping
@@ -22,21 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import shared_folder, small_batches
+from ledgerloom.llm.common import shared_folder, small_batches, stash
 
 WINDOW = 4096
 #: Sources beyond the largest so many share one queue, which bounds the schedule that travels to the tasks.
 MAX_QUEUES = 512
+#: Sums per task and queue are broadcast up to this number of rows, and joined by shuffle beyond it.
+BROADCAST_SUMS = 100_000
 REST = "\x00rest"
 
 
+#: The tokenizer's own word pattern, and what it amounts to below U+0100; both must agree for words to be cut here.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
+LATIN = re.compile("[\x00-\x1b\x20-\xff]*")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else one from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
 class ChunkTokenizer:
-    """Exact ids of whole texts by way of a bounded cache of chunks between blanks.
+    """Exact ids of whole texts by way of bounded caches of chunks between blanks and of the words in them.
 
-    Valid for tokenizers whose pre-tokenizer drops white space and never crosses it, as ``word_bpe_49k.json`` does.
+    Valid for tokenizers whose pre-tokenizer drops white space and never crosses it, as ``word_bpe_49k.json`` does. New
+    chunks of Latin letters are cut into words here, so only words that are new go through the merges; other chunks go
+    through the whole tokenizer.
     """
 
-    CACHED, LONGEST = 300_000, 40
+    CHUNKS, WORDS, LONGEST = 400_000, 500_000, 40
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,26 +65,49 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        setup = json.loads(self.tokenizer.to_str())
+        own = json.dumps(WORD_PATTERN) in json.dumps(setup["pre_tokenizer"]) and "Lowercase" in json.dumps(setup["normalizer"])
+        self.by_word = own and sys.byteorder == "little"
 
-    def _bytes(self, chunks: list[str]) -> Iterable[bytes]:
+    def _whole(self, chunks: list[str]) -> Iterator[bytes]:
         return (np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
 
+    def _word(self, word: str) -> bytes:
+        spelt = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        return array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def _latin(self, chunk: str) -> bytes:
+        out, words = [], self.words
+        for word in LATIN_WORDS.findall(chunk.lower()):
+            if (ids := words.get(word)) is None:
+                ids = self._word(word)
+                if len(word) <= self.LONGEST:
+                    words[word] = ids
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
     def encode_batch(self, texts: list[str], end: int | None) -> list[bytes]:
         """Each text's ids as little-endian integers of ``width``, with ``end`` after them."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.CACHED:
+        if len(self.known) > self.CHUNKS:
             self.known.clear()
-        new = set().union(*split).difference(self.known)
-        long = [c for c in new if len(c) > self.LONGEST]
-        short = [c for c in new if len(c) <= self.LONGEST]
+        if len(self.words) > self.WORDS:
+            self.words.clear()
         known = self.known
-        known.update(zip(short, self._bytes(short), strict=True))
-        known.update(zip(long, self._bytes(long), strict=True))
+        new = set().union(*split).difference(known)
+        latin = [c for c in new if self.by_word and "<|" not in c and LATIN.fullmatch(c)]
+        known.update(zip(latin, map(self._latin, latin), strict=True))
+        rest = list(new.difference(latin))
+        known.update(zip(rest, self._whole(rest), strict=True))
         tail = b"" if end is None else np.array([end], self.width).tobytes()
         out = [b"".join(map(known.__getitem__, chunks)) + tail for chunks in split]
-        for c in long:
-            del known[c]
+        for c in new:
+            if len(c) > self.LONGEST:
+                del known[c]
         return out
 
 
@@ -209,7 +253,7 @@ def pack_documents(
     picked.select("doc_id", "text", "source").mapInArrow(tokenise, schema).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(schema).parquet(path)
 
-    sums = tokens.groupBy("queue", "tag").agg(F.sum("n").alias("n"))
+    sums = stash(tokens.groupBy("queue", "tag").agg(F.sum("n").alias("n")), "queue-sums")
     largest = [r.queue for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue").limit(MAX_QUEUES).collect()]
     named = {q: k for k, q in enumerate(largest)}
     number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for q, k in named.items() for x in (q, k)]), F.col("queue")), F.lit(len(named))) if named else F.lit(0)
@@ -241,6 +285,8 @@ def pack_documents(
             kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], OUT)
 
+    if sums.count() <= BROADCAST_SUMS:
+        firsts = F.broadcast(firsts)
     placed = tokens.join(firsts, ["queue", "tag"]).select("doc_id", "source", "ids", "n", "k", (F.col("first") + F.col("start")).alias("first"))
     return placed.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in zip(OUT, ["long", "string", *["long"] * 6, "binary"], strict=True)))
 

@@ -60,6 +60,17 @@ def test_round_trip(spark, texts):
     assert got == {k: (t or "").replace("▁", " ") for k, t in enumerate(texts)}
 
 
+def test_chunks_equal_whole_texts(texts):
+    own = packing.ChunkTokenizer(WORDS)
+    assert own.by_word
+    rng = random.Random(8)
+    latin = [chr(c) for c in range(1, 256)] * 2 + list("aaeeiioouu'''      tsrndl'''<|>") + ["\u0301", "Σ", "σ", "İ", "\u2028", "'s", "'ll", "<|endoftext|>"]
+    more = ["".join(rng.choice(latin) for _ in range(rng.randint(1, 50))) for _ in range(3000)]
+    every = [t or "" for t in texts] + more
+    for t, ids in zip(every, own.encode_batch(every, None), strict=True):
+        assert np.frombuffer(ids, own.width).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("targets", [None, {"s0": 0.6, "s1": 0.3, "s2": 0.1, "": 0.05}])
 def test_packing(spark, texts, targets):
     from tokenizers import Tokenizer
