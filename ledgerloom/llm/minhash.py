@@ -186,7 +186,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int, size: int,
     """(a, b): a spanning forest of the links that full shingle sets confirm in each candidate component."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     members = groups.join(sizes, "component").withColumnRenamed("node", "doc_id")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(members, "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "doc_id")  # alike at every size
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
