@@ -118,19 +118,30 @@ def period(c: Column) -> tuple[Column, Column]:
     return tuple(F.coalesce(*[F.when(ok, pair[k]) for ok, pair in zip(both, found, strict=True)]) for k in (0, 1))
 
 
+def raw_schema(names: list[str]) -> str:
+    return ", ".join(f"{n} string" for n in names)
+
+
 def extract_invoices(texts: DataFrame, as_of: str, text_col: str = "text", hint: str | None = None, strict_words: bool = False) -> DataFrame:
     """``texts`` with commodity, fields, errors, warnings, details (map of the commodity's own fields, null
     if none was found) and confidence. ``as_of`` stands for today in the defaults. Rows without a commodity have an error
     and no confidence."""
     c = F.col(text_col)
-    start, end = period(c)
-    out = texts.withColumn("commodity", F.coalesce(F.col(hint), detect_commodity(c, strict_words)) if hint else detect_commodity(c, strict_words))
+    found = detect_commodity(c, strict_words)
     names = ["variable_symbol", "ean_code", "eic_code", "consumption_point_code", "customer_tax_id", "supplier_tax_id", "customer_vat_id", "supplier_vat_id"]
+    typed = ["total_amount_inc_vat", "total_amount_ex_vat", "vat_amount", "issue_date", "due_date", "vat_date"]
+    own = sorted({n for v in DETAILS.values() for n in v})
+    periods = {f"_p{k}{g}": text.first_match(c, [p], g) for k, p in enumerate(PATTERNS["period"]) for g in (1, 2)}
+    # every pattern runs once: matches are structs of one column, read by the expressions after it
+    raw = F.struct(*[field(c, n).alias(n) for n in [*names, *typed, *own, "invoice_number"]], *[v.alias(k) for k, v in periods.items()])
+    out = texts.withColumns({"commodity": F.coalesce(F.col(hint), found) if hint else found, "_raw": F.from_json(F.to_json(raw), raw_schema([*names, *typed, *own, "invoice_number", *periods]))})
+    ends = [[text.parse_date(F.col(f"_raw._p{k}{g}")) for g in (1, 2)] for k in range(len(PATTERNS["period"]))]
+    out = out.withColumn("_ends", F.coalesce(*[F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("a"), y.alias("b"))) for x, y in ends]))
     out = out.withColumns(
-        {n: field(c, n) for n in names}
-        | {n: text.clean_number(field(c, n)) for n in ("total_amount_inc_vat", "total_amount_ex_vat", "vat_amount")}
-        | {n: text.parse_date(field(c, n)) for n in ("issue_date", "due_date", "vat_date")}
-        | {"_number": field(c, "invoice_number"), "_from": start, "_to": end}
+        {n: F.col(f"_raw.{n}") for n in names}
+        | {n: text.clean_number(F.col(f"_raw.{n}")) for n in typed[:3]}
+        | {n: text.parse_date(F.col(f"_raw.{n}")) for n in typed[3:]}
+        | {"_number": F.col("_raw.invoice_number"), "_from": F.col("_ends.a"), "_to": F.col("_ends.b")}
     )
     known = F.col("commodity").isNotNull()
     errors = F.array_compact(F.array(F.when(~known, "no_commodity"), F.when(known & F.col("_number").isNull(), "missing_invoice_number")))
@@ -141,13 +152,13 @@ def extract_invoices(texts: DataFrame, as_of: str, text_col: str = "text", hint:
     )
     details = F.lit(None).cast("map<string,string>")
     for commodity, own in DETAILS.items():
-        values = {n: field(c, n) if n in TEXTUAL else text.clean_number(field(c, n)).cast("string") for n in own}
+        values = {n: F.col(f"_raw.{n}") if n in TEXTUAL else text.clean_number(F.col(f"_raw.{n}")).cast("string") for n in own}
         some = F.coalesce(*values.values()).isNotNull()
         pairs = F.map_filter(F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)]), lambda k, v: v.isNotNull())
         details = F.when((F.col("commodity") == commodity) & some, pairs).otherwise(details)
     sure = rules.regex_confidence(F.size("errors"), F.size("warnings"), F.col("invoice_number"), F.col("ean_code"), F.col("eic_code"), F.col("total_amount_inc_vat"))
     checks = rules.warnings(F.col("invoice_number"), F.coalesce("ean_code", "eic_code", "consumption_point_code"), F.col("issue_date"), F.col("due_date"), F.col("total_amount_inc_vat"), F.lit(False))
-    return out.withColumns({"details": details, "confidence": F.when(known, sure), "checks": checks}).drop("_number", "_from", "_to")
+    return out.withColumns({"details": details, "confidence": F.when(known, sure), "checks": checks}).drop("_number", "_from", "_to", "_raw", "_ends")
 
 
 def nested_invoice(flat: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def top_neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "
     n = index.count()
     blocks = max(1, -(-n // block))
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("long")
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
+    left = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
     right = index.select(own.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
 
     def unit(rows: pa.Table) -> np.ndarray:

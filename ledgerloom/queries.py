@@ -693,14 +693,14 @@ def confident_words(spark, sf_dir):
     return layout.confident_words(views.words(spark, sf_dir)).select("doc_id", "page", "text", "left", "top")
 
 
-@query(f"""WITH {W}, n AS (SELECT *, t // 30 AS line, row_number() OVER (PARTITION BY doc_id, t // 30 ORDER BY l) - 1 AS position FROM words) SELECT doc_id, page, text, CAST(line AS INTEGER) AS line, CAST(position AS INTEGER) AS position FROM n""")
+@query(f"""WITH {W}, n AS (SELECT *, t // 30 AS line, row_number() OVER (PARTITION BY doc_id, page, t // 30 ORDER BY l) - 1 AS position FROM words) SELECT doc_id, page, text, CAST(line AS INTEGER) AS line, CAST(position AS INTEGER) AS position FROM n""")
 def line_groups(spark, sf_dir):
     ship_package(spark)
     return layout.group_lines(views.words(spark, sf_dir)).select("doc_id", "page", "text", "line", "position")
 
 
-@query(f"""WITH {W}, s AS (SELECT *, t // 30 AS line, CASE WHEN l - lag(l + w) OVER (PARTITION BY doc_id, t // 30 ORDER BY l) > 50 THEN 1 ELSE 0 END AS j FROM words),
-g AS (SELECT *, sum(j) OVER (PARTITION BY doc_id, line ORDER BY l) AS seg FROM s) SELECT doc_id, page, CAST(line AS INTEGER) AS line, CAST(max(seg) + 1 AS INTEGER) AS columns, string_agg(text, ' ' ORDER BY l) AS text FROM g GROUP BY 1, 2, 3""")
+@query(f"""WITH {W}, s AS (SELECT *, t // 30 AS line, CASE WHEN l - lag(l + w) OVER (PARTITION BY doc_id, page, t // 30 ORDER BY l) > 50 THEN 1 ELSE 0 END AS j FROM words),
+g AS (SELECT *, sum(j) OVER (PARTITION BY doc_id, page, line ORDER BY l) AS seg FROM s) SELECT doc_id, page, CAST(line AS INTEGER) AS line, CAST(max(seg) + 1 AS INTEGER) AS columns, string_agg(text, ' ' ORDER BY l) AS text FROM g GROUP BY 1, 2, 3""")
 def line_columns(spark, sf_dir):
     ship_package(spark)
     lines = layout.line_segments(layout.group_lines(views.words(spark, sf_dir)))
@@ -748,7 +748,7 @@ def words_outside(spark, sf_dir):
 
 @query()
 def page_regions(spark, sf_dir):
-    return layout.regions(views.words(spark, sf_dir), 1000)
+    return layout.regions(views.words(spark, sf_dir), 3000)
 
 
 # --- retrieval ------------------------------------------------------------------------------------------------------

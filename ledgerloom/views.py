@@ -102,16 +102,16 @@ flags AS (SELECT *, expected IS NOT NULL AS is_evaluable, coalesce(extracted NOT
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document words as word boxes: ten to a line, columns after every fourth word, a page of a hundred lines."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("n", "text")).filter("n < 200")
-    line, at = F.floor(F.col("n") / 10), F.col("n") % 10
+    """Document words as word boxes: ten to a line, a wide gap after the fourth, pages of a hundred lines."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("n", "text"))
+    line, at = F.floor(F.col("n") % 1000 / 10), F.col("n") % 10
     return own.select(
-        "doc_id", F.lit(1).alias("page"), "text", (at * 60 + F.when(at >= 4, 90).otherwise(0)).cast("int").alias("left"), (line * 30 + F.col("n") % 3).cast("int").alias("top"),
+        "doc_id", (F.floor(F.col("n") / 1000) + 1).cast("int").alias("page"), "text", (at * 60 + F.when(at >= 4, 90).otherwise(0)).cast("int").alias("left"), (line * 30 + F.col("n") % 3).cast("int").alias("top"),
         F.least(F.length("text") * 6, F.lit(55)).cast("int").alias("width"), F.lit(12).alias("height"), ((F.col("n") * 7) % 100).cast("string").alias("conf"),
     )
 
 
 WORDS = """
-split AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), w -> w <> '') AS ws FROM documents),
+split AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda w: w <> '') AS ws FROM documents),
 pos AS (SELECT doc_id, unnest(ws) AS text, unnest(range(len(ws))) AS n FROM split),
-words AS (SELECT doc_id, 1 AS page, text, n % 10 * 60 + CASE WHEN n % 10 >= 4 THEN 90 ELSE 0 END AS l, n // 10 * 30 + n % 3 AS t, least(length(text) * 6, 55) AS w, 12 AS h, n * 7 % 100 AS conf FROM pos WHERE n < 200)"""
+words AS (SELECT doc_id, CAST(n // 1000 + 1 AS INTEGER) AS page, text, n % 10 * 60 + CASE WHEN n % 10 >= 4 THEN 90 ELSE 0 END AS l, n % 1000 // 10 * 30 + n % 3 AS t, least(length(text) * 6, 55) AS w, 12 AS h, n * 7 % 100 AS conf FROM pos)"""
