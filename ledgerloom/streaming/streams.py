@@ -13,9 +13,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ledgerloom.sources import readers
 
 
+#: Columns of binary-file sources, which streams must be told.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def landing(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """S4 as a stream: files that appear in a folder, with their status."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_trigger).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_trigger).load(folder)
     return readers.judged_uploads(files)
 
 
