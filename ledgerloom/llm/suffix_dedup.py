@@ -26,12 +26,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_group, parts, small_batches
-from ledgerloom.session import ship_package
+from ledgerloom.llm.common import by_group, parts, small_batches, stash, trimmed
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a chunk, windows that are sorted at once, and bytes of text hashed at once.
-CHUNK_BYTES, SORTED_WINDOWS, BLOCK = 24 << 20, 150_000, 1 << 20
+CHUNK_BYTES, SORTED_WINDOWS, BLOCK = 4 << 20, 50_000, 1 << 17
 NO_ID = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 22) - 1)
@@ -248,7 +247,7 @@ def remove_repeats(
     are judged as they came. Null text is empty; a null id counts as larger than any other; rows that repeat an id are
     one document to each other (none removes from the other); other columns are ignored; no rows give no rows.
     """
-    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession, 256)  # rows here hold texts and packed spans
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = buckets = max(parts(docs.sparkSession), -(-total // CHUNK_BYTES))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -262,7 +261,7 @@ def remove_repeats(
         bucket, low, shared = zip(*sent, strict=True) if sent else ((), (), ())
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([chunk] * len(sent), pa.int64()), "low": pa.array(low, pa.binary()), "shared": pa.array(shared, pa.binary())})
 
-    sent = dealt.groupBy("chunk").applyInArrow(anchors, "bucket long, chunk long, low binary, shared binary")
+    sent = dealt.groupBy("chunk").applyInArrow(trimmed(anchors), "bucket long, chunk long, low binary, shared binary")
 
     def answer(bucket: int, rows: pa.Table) -> pa.RecordBatch:
         low = [np.frombuffer(x, np.uint32) for x in rows["low"].to_pylist()]
@@ -277,7 +276,8 @@ def remove_repeats(
         bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
         return pa.RecordBatch.from_arrays([rows["chunk"].combine_chunks(), pa.array([bucket] * len(bits), pa.int64()), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
 
-    answers = by_group(sent, "bucket", answer, "chunk long, bucket long, bits binary", buckets)
+    # written once: two later passes read the bits, and no stage holds two of these operators
+    answers = stash(by_group(sent, "bucket", trimmed(answer), "chunk long, bucket long, bits binary", buckets), "anchor-bits")
 
     def spans(rows: pa.Table, bits: pa.Table) -> pa.Table:
         out = {"bucket": [], "chunk": [], "number": [], "owner": [], "size": [], "spans": []}
@@ -304,7 +304,7 @@ def remove_repeats(
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
     grouped = dealt.groupBy("chunk")
-    candidates = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(spans, "bucket long, chunk long, number binary, owner binary, size binary, spans binary")
+    candidates = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(trimmed(spans), "bucket long, chunk long, number binary, owner binary, size binary, spans binary")
 
     def judge(bucket: int, rows: pa.Table) -> pa.RecordBatch | None:
         strings, owners, row, number = [], [], [], []
@@ -321,27 +321,22 @@ def remove_repeats(
         least = np.full(len(known), NO_ID, np.int64)
         np.minimum.at(least, which, owner)
         whole = np.flatnonzero(owner > least[which])  # equal to a span of a smaller document
-        hits = [(whole, np.zeros(len(whole), np.int64), np.array([len(strings[k]) for k in whole.tolist()], np.int64))]
-        holder = np.full(len(known), -1, np.int64)
+        lengths = np.array([len(x) for x in strings], np.int64)
+        parts = [(whole, np.zeros(len(whole), np.int64), lengths[whole])]
         keep = np.flatnonzero(owner == least[which])
+        keep = keep[np.argsort(which[keep], kind="stable")]
         texts = list(known)
         for group in _by_anchor(texts, length, gram):
-            for repeat in maximal_repeats([texts[g] for g in group], length):
-                ids = np.array(group, np.int64)[repeat.segments]
-                smaller = np.flatnonzero(least[ids] > least[ids].min())
-                if len(smaller):
-                    hits.append((-1 - ids[smaller], repeat.offsets[smaller], np.full(len(smaller), repeat.length, np.int64)))
-        holder = {}
-        for k in keep.tolist():
-            holder.setdefault(int(which[k]), []).append(k)
-        index, offset, size = [], [], []
-        for i, o, n in hits:
-            for x, y, z in zip(i.tolist(), o.tolist(), n.tolist(), strict=True):
-                for own in [x] if x >= 0 else holder[-1 - x]:
-                    index.append(own), offset.append(y), size.append(z)
-        if not index:
+            ids = np.array(group, np.int64)
+            span, start, end = _covered([texts[g] for g in group], least[ids], length)
+            first, last = np.searchsorted(which[keep], ids[span]), np.searchsorted(which[keep], ids[span], side="right")
+            n = last - first  # a span may be the least one of a document more than once
+            own = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else first
+            parts.append((keep[own], np.repeat(start, n), np.repeat(end - start, n)))
+        index, offset, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if not len(index):
             return None
-        index, offset, size = np.array(index), np.array(offset, np.uint16), np.array(size, np.uint16)
+        offset, size = offset.astype(np.uint16), size.astype(np.uint16)
         order = np.argsort(row[index], kind="stable")
         index, offset, size = index[order], offset[order], size[order]
         edges = np.concatenate(([0], np.flatnonzero(np.diff(row[index])) + 1, [len(index)]))
@@ -349,7 +344,7 @@ def remove_repeats(
         out = [(chunk[row[index[a]]], number[index[a:b]].tobytes(), offset[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], ["chunk", "number", "offset", "size"])
 
-    ranges = by_group(candidates, "bucket", judge, "chunk long, number binary, offset binary, size binary", buckets)
+    ranges = stash(by_group(candidates, "bucket", trimmed(judge), "chunk long, number binary, offset binary, size binary", buckets), "repeat-ranges")
     back = answers.select("chunk", "bucket", "bits", *[F.lit(None).cast("binary").alias(c) for c in ("number", "offset", "size")]).unionByName(
         ranges.select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "number", "offset", "size")
     )
@@ -400,7 +395,27 @@ def remove_repeats(
         return found
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + f", kept binary, row {dealt.schema['row'].dataType.simpleString() if with_row else ''}" * with_row
-    return grouped.cogroup(back.groupBy("chunk")).applyInArrow(cut, schema)
+    return grouped.cogroup(back.groupBy("chunk")).applyInArrow(trimmed(cut), schema)
+
+
+def _covered(texts: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the bytes that a repeat covers whose group has a text of a smaller owner.
+
+    Shorter repeats are closed after the longer ones in them, so each position keeps its first, longest one."""
+    heads = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
+    cover = np.zeros(heads[-1], np.int64)
+    for repeat in maximal_repeats(texts, length):
+        own = owner[repeat.segments]
+        at = (heads[repeat.segments] + repeat.offsets)[own > own.min()]
+        cover[at] = np.maximum(cover[at], repeat.length)
+    starts = np.flatnonzero(cover)
+    depth = np.zeros(heads[-1] + 1, np.int64)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, starts + cover[starts], -1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(depth) > 0, [False])).astype(np.int8)))
+    begin, end = edges[::2], edges[1::2]
+    text = np.searchsorted(heads, begin, side="right") - 1
+    return text, begin - heads[text], end - heads[text]
 
 
 def _by_anchor(texts: list[bytes], length: int, gram: int) -> Iterator[list[int]]:
