@@ -224,7 +224,7 @@ def invisible_font(c: Column | str, generation: str = "v2") -> Column:
 
 def first_match(c: Column | str, patterns: list[str], group: int = 1) -> Column:
     """the trimmed group of the first pattern that matches, case-insensitive and multi-line; else null."""
-    found = [F.when(_col(c).rlike(f"(?iumU){p}"), F.trim(F.regexp_replace(F.regexp_extract(_col(c), f"(?iumU){p}", group), r"(?U)^\s+|\s+$", ""))) for p in patterns]
+    found = [F.nullif(F.btrim(F.regexp_extract(_col(c), f"(?iumU){p}", group), F.lit(" \t\r\n\u00a0")), F.lit("")) for p in patterns]
     return F.coalesce(*found)
 
 

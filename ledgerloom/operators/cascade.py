@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions import fields as registry
 from ledgerloom.functions import text
 from ledgerloom.operators import extract, rules
+from ledgerloom.session import materialise
 
 
 class Extractor(Protocol):
@@ -48,12 +49,12 @@ class RegexExtractor:
 def cascade(docs: DataFrame, primary: Callable[[DataFrame], DataFrame], fallback: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
     """The primary result, or the fallback's for rows that escalate; costs add up, latencies stay apart.
 
-    The paid fallback sees only the rows that need it: it runs on a filter of the first stage, and both are united.
+    The primary's results are stored before the decision is read. The paid fallback sees only the rows that need it: it runs on a filter of the first stage, and both are united.
     """
     kept = [key, "commodity", "fields", "confidences", "cost_usd", "latency_ms"]
     first = primary(docs)
     reason = rules.escalation_reason(F.col("fields"), F.col("commodity"), F.col("api_error"), F.col("logprob"), F.col("confidences"))
-    judged = first.withColumn("reason", reason)
+    judged = materialise(first.select(*kept, reason.alias("reason")), "primary")  # the primary reader is paid for once
     done = judged.filter("reason = 'ok'").select(*kept, "reason", F.lit(False).alias("escalated"), F.lit("text").alias("mode"), F.col("latency_ms").alias("text_ms"), F.lit(0.0).alias("vision_ms"))
     needed = judged.filter("reason <> 'ok'").select(key, "reason", F.col("cost_usd").alias("_cost"), F.col("latency_ms").alias("text_ms"))
     again = fallback(docs.join(needed.select(key), key, "left_semi")).select(*kept).join(needed, key)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,3 +40,16 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(here), base_dir=os.path.basename(here))
     context.addPyFile(archive)
     context._ledgerloom_shipped = True
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the folder that driver and executors share (``spark.checkpoint.dir``; a local one only
+    where that is unset) and read back: what it took to make it is not done twice, whoever reads it."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
