@@ -1,6 +1,6 @@
 """Language ID (1): Bayesian evidence fusion of text, declared markup language, address suffix and host prior.
 
-log P(l | all) = log P(l | host) + w * log P(text | l) + log P(declared | l) + log P(suffix | l) + const
+log P(l | all) = log P(l) + w * log P(text | l) + sum over pages (log P(l | host) / P(l) + log P(declared | l) + log P(suffix | l)) + const
 
 Text likelihoods are multinomials over hashed byte n-grams, tempered to a fixed number of effective n-grams since
 neighbouring ones are not independent. P(declared | l) and P(suffix | l) are smoothed tables; the host prior is smoothed
@@ -30,6 +30,9 @@ EFFECTIVE = 40.0
 PARENT_WEIGHT, TABLE_WEIGHT = 20.0, 1.0
 #: Documents whose best language has less posterior than this are rejected.
 CONFIDENT = 0.5
+KINDS = ("declared", "host", "suffix")
+#: Evidence terms are broadcast up to so many numbers, and joined by shuffle beyond.
+BROADCAST_TERMS = 200_000
 
 
 def fit_text(docs: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
@@ -48,10 +51,24 @@ def fit_text(docs: DataFrame, label_col: str, id_col: str, text_col: str) -> tup
     return sorted(frequent), np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def _softmax(columns: dict[str, Column]) -> dict[str, Column]:
-    top = F.greatest(*columns.values()) if len(columns) > 1 else next(iter(columns.values()))
-    total = sum((F.exp(c - top) for c in columns.values()), F.lit(0.0))
-    return {k: F.exp(c - top) / total for k, c in columns.items()}
+def _log_shares(scores: np.ndarray) -> np.ndarray:
+    scores = scores - scores.max()
+    return scores - np.log(np.exp(scores).sum())
+
+
+def _summed(rows: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
+    """The arrays of ``column`` added up per group, element by element, with ``n`` as weight; summed before the shuffle."""
+    each = rows.select(*by, "n", F.posexplode(column).alias("k", "x")).groupBy(*by, "k").agg(F.sum(F.col("x") * F.col("n")).alias("x"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias(out))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """The sum of two arrays; one that is null counts as zeros."""
+    return F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
 
 
 def identify(
@@ -61,76 +78,101 @@ def identify(
     """One row per document: doc_id, language, confidence, text_language, n_grams, accepted.
 
     ``label_col`` trains the text model; ``declared``, ``host`` and ``suffix`` are columns of evidence (null where there is
-    none: that factor is left out); ``pages`` (see :func:`page_evidence`) overrides them where it has a value. Documents without text (null, empty or blank) get language 'und', confidence
-    0 and are rejected, as are those below CONFIDENT. Repeated rows are judged alike, null ids are allowed, other columns
-    are ignored, no rows give no rows; without labels the only language is 'und'.
+    none: that factor is left out); ``pages`` (see :func:`named_pages`) overrides them where it has a value: every page of
+    a document adds its terms and counts for its host. Documents without text (null, empty or blank) get language 'und',
+    confidence 0 and are rejected, as are those below CONFIDENT. Repeated rows are judged alike, null ids are allowed,
+    other columns are ignored, no rows give no rows; without labels the only language is 'und'.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     languages, tables = fit_text(docs, label_col, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(tables)  # at most LANGUAGES << BITS numbers
+    model = spark.sparkContext.broadcast(tables)  # at most LANGUAGES << BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [f" {t} " if t and t.strip() else "" for t in b.column(1).to_pylist()]  # a gram for the shortest word
             sums = [gram_sums(t.encode(), GRAM, BITS, model.value) for t in texts]
-            scores = [(s * (min(n, EFFECTIVE) / n)).tolist() if n else [0.0] * len(s) for s, n in sums]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.list_(pa.float64())), pa.array([n for _, n in sums], pa.int64()), *b.columns[2:]], ["doc_id", "scores", "n_grams", "declared", "host", "suffix"])
+            scores = [_log_shares(s * (min(n, EFFECTIVE) / n)) if n else np.zeros(len(s)) for s, n in sums]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.list_(pa.float64())), pa.array([n for _, n in sums], pa.int64()), *b.columns[2:]], ["doc_id", "scores", "n_grams", *KINDS])
 
     none = F.lit(None).cast("string")
-    evidence = [F.lower(F.trim(c)).cast("string") if c is not None else none for c in (declared, host, suffix)]
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(n) for c, n in zip(evidence, ("declared", "host", "suffix"), strict=True)])
+    given = dict(zip(KINDS, (declared, host, suffix), strict=True))
+    evidence = [F.lower(F.trim(c)).cast("string") if c is not None else none for c in given.values()]
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(n) for c, n in zip(evidence, KINDS, strict=True)])
     scored = stash(picked.mapInArrow(run, "doc_id long, scores array<double>, n_grams long, declared string, host string, suffix string"), "language-scores")
-    text = {k: F.col("scores")[k] for k in range(len(languages))}
+    base = scored
+    paged = None
     if pages is not None:
-        own = page_evidence(pages).select("doc_id", *[F.col(c).alias(f"page_{c}") for c in ("declared", "host", "suffix")])
-        scored = scored.join(own, "doc_id", "left").withColumns({c: F.coalesce(F.lower(f"page_{c}"), c) for c in ("declared", "host", "suffix")})
-    scored = scored.withColumns({f"t{k}": F.when(F.col("n_grams") > 0, p).otherwise(0.0) for k, p in _softmax(text).items()})
-    scored = scored.withColumn("parent", F.coalesce(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit(""))).withColumn("top", F.coalesce(F.regexp_extract("host", r"([^.]+)$", 1), F.lit("")))
-    ks = range(len(languages))
-    soft = [F.sum(f"t{k}").alias(f"n{k}") for k in ks]
-
-    def smoothed(own: str, above: str) -> list[Column]:
-        n = sum((F.col(f"n{k}") for k in ks), F.lit(0.0))
-        return [((F.col(f"n{k}") + PARENT_WEIGHT * F.col(f"{above}{k}")) / (n + PARENT_WEIGHT)).alias(f"{own}{k}") for k in ks]
-
-    corpus = scored.agg(*soft).select(*[((F.coalesce(f"n{k}", F.lit(0.0)) + 1) / (sum((F.coalesce(f"n{j}", F.lit(0.0)) for j in ks), F.lit(0.0)) + len(languages))).alias(f"c{k}") for k in ks])
-    with_host = scored.filter("host IS NOT NULL AND n_grams > 0").groupBy("top", "parent", "host").agg(*soft)
-    again = [F.sum(f"n{k}").alias(f"n{k}") for k in ks]
-    tops = with_host.groupBy("top").agg(*again).join(F.broadcast(corpus)).select("top", *smoothed("s", "c"))  # corpus: one row
-    parents = with_host.groupBy("top", "parent").agg(*again).join(tops, "top").select("top", "parent", *smoothed("p", "s"))
-    hosts = with_host.join(parents, ["top", "parent"]).select("host", *smoothed("h", "p"))
-
-    def likelihood(column: str, name: str) -> DataFrame:
-        """log P(value | language) with the count of one more value, smoothed; one row per value."""
-        by = scored.filter(f"{column} IS NOT NULL AND n_grams > 0").groupBy(column).agg(*soft)
-        totals = by.agg(F.count("*").alias("v"), *[F.sum(f"n{k}").alias(f"a{k}") for k in ks])
-        return by.join(F.broadcast(totals)).select(column, *[F.log((F.col(f"n{k}") + TABLE_WEIGHT) / (F.col(f"a{k}") + TABLE_WEIGHT * (F.col("v") + 1))).alias(f"{name}{k}") for k in ks])
-
-    joined = scored.join(hosts, "host", "left").join(likelihood("declared", "d"), "declared", "left").join(likelihood("suffix", "x"), "suffix", "left").join(F.broadcast(corpus))
-    fused = {k: F.log(F.coalesce(f"h{k}", f"c{k}")) + text[k] + F.coalesce(f"d{k}", F.lit(0.0)) + F.coalesce(f"x{k}", F.lit(0.0)) for k in ks}
-    judged = joined.withColumns({f"q{k}": p for k, p in _softmax(fused).items()})
-
-    def best(prefix: str) -> Column:
-        top = F.greatest(*[F.col(f"{prefix}{k}") for k in ks]) if len(languages) > 1 else F.col(f"{prefix}0")
-        return F.coalesce(*[F.when(F.col(f"{prefix}{k}") == top, F.lit(languages[k])) for k in ks], F.lit("und"))
-
-    some = F.col("n_grams") > 0
-    top = F.greatest(*[F.col(f"q{k}") for k in ks]) if len(languages) > 1 else F.col("q0")
+        found = named_pages(pages).select("doc_id", F.explode(F.create_map(*[x for c in KINDS for x in (F.lit(c), F.lower(c))])).alias("kind", "value"))
+        paged = stash(found.filter("value IS NOT NULL").groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n")), "page-evidence")
+        told = paged.groupBy("doc_id").agg(*[F.max(F.col("kind") == c).alias(f"page_{c}") for c in KINDS])
+        base = scored.join(told, "doc_id", "left").withColumns({c: F.when(~F.coalesce(f"page_{c}", F.lit(False)), F.col(c)) for c in KINDS})
+
+    shares = F.transform("scores", F.exp).alias("t")
+    own = base.filter("n_grams > 0").select(F.explode(F.create_map(*[x for c in KINDS for x in (F.lit(c), F.col(c))])).alias("kind", "value"), F.lit(1).alias("n"), shares).filter("value IS NOT NULL")
+    if paged is not None:
+        own = own.unionByName(scored.filter("n_grams > 0").join(paged, "doc_id").select("kind", "value", "n", shares))
+    counts = stash(_summed(own, ["kind", "value"], "t", "sums"), "language-counts")
+    every = scored.filter("n_grams > 0").select(F.posexplode(shares).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    seen = np.zeros(len(languages))
+    for r in every.collect():
+        seen[r.k] = r.x
+    corpus = (seen + 1) / (seen.sum() + len(languages))
+    prior, log_prior = (F.array(*[F.lit(float(x)) for x in c]) for c in (corpus, np.log(corpus)))
+
+    def smoothed(own: Column, above: Column) -> Column:
+        total = _total(own)
+        return F.zip_with(own, above, lambda n, a: (n + PARENT_WEIGHT * a) / (total + PARENT_WEIGHT))
+
+    hosts = counts.filter("kind = 'host'").select(
+        F.col("value").alias("host"), F.regexp_extract("value", r"([^.]+\.[^.]+)$", 1).alias("parent"), F.regexp_extract("value", r"([^.]+)$", 1).alias("top"), F.lit(1).alias("n"), "sums"
+    )
+    tops = _summed(hosts, ["top"], "sums", "s").select("top", smoothed(F.col("s"), prior).alias("s"))
+    parents = _summed(hosts, ["top", "parent"], "sums", "p").join(tops, "top").select("top", "parent", smoothed(F.col("p"), F.col("s")).alias("p"))
+    priors = hosts.join(parents, ["top", "parent"]).select(F.lit("host").alias("kind"), F.col("host").alias("value"), F.zip_with(smoothed(F.col("sums"), F.col("p")), log_prior, lambda h, c: F.log(h) - c).alias("term"))
+
+    # log P(value | language) with the count of one more value, smoothed
+    others = counts.filter("kind <> 'host'")
+    totals = _summed(others.withColumn("n", F.lit(1)), ["kind"], "sums", "a").join(others.groupBy("kind").agg(F.count("*").alias("v")), "kind")  # two rows
+    likelihoods = others.join(F.broadcast(totals), "kind").select("kind", "value", F.zip_with("sums", "a", lambda n, a: F.log((n + TABLE_WEIGHT) / (a + TABLE_WEIGHT * (F.col("v") + 1)))).alias("term"))
+    terms = stash(priors.unionByName(likelihoods), "language-terms")
+    if terms.count() * len(languages) <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+
+    fused, joined = _plus(F.col("scores"), log_prior), base
+    for c in KINDS:
+        if given[c] is not None:
+            joined = joined.join(terms.filter(F.col("kind") == c).select(F.col("value").alias(c), F.col("term").alias(f"{c}_term")), c, "left")
+            fused = _plus(fused, F.col(f"{c}_term"))
+    if paged is not None:
+        joined = joined.join(_summed(paged.join(terms, ["kind", "value"]), ["doc_id"], "term", "page_term"), "doc_id", "left")
+        fused = _plus(fused, F.col("page_term"))
+    judged = joined.select("doc_id", "n_grams", "scores", fused.alias("q")).withColumn("top", F.array_max("q"))
+    names, some = F.array(*[F.lit(x) for x in languages]), F.col("n_grams") > 0
+
+    def best(scores: str, top: Column) -> Column:
+        return F.when(some, F.element_at(names, F.array_position(scores, top).cast("int"))).otherwise("und")
+
     out = judged.select(
-        "doc_id", F.when(some, best("q")).otherwise("und").alias("language"), F.when(some, top).otherwise(0.0).alias("confidence"),
-        F.when(some, best("t")).otherwise("und").alias("text_language"), "n_grams",
+        "doc_id", best("q", F.col("top")).alias("language"),
+        F.when(some, 1 / _total(F.transform("q", lambda x: F.exp(x - F.col("top"))))).otherwise(0.0).alias("confidence"),
+        best("scores", F.array_max("scores")).alias("text_language"), "n_grams",
     )
     return out.withColumn("accepted", (F.col("language") != "und") & (F.col("confidence") >= CONFIDENT))
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
-    """(doc_id, declared, host, suffix) of the first page whose address names a document: its ``lang`` attribute and host."""
+def named_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_id, declared, host, suffix) of every page whose address names a document: its ``lang`` attribute and host."""
     doc = F.regexp_extract("url", r"://[^/?#]*/(?:[a-z]+/)?(\d{1,18})", 1)
     markup = F.regexp_extract(F.substring("html", 1, 500), r"(?is)^.{0,300}?<html[^>]*\slang=[\"']?([a-z]+)", 1)
     found = pages.filter("url IS NOT NULL").select("page_id", doc.alias("doc"), F.nullif(markup, F.lit("")).alias("declared"), F.regexp_extract("url", r"://([^/?#]*)", 1).alias("host"))
-    found = found.filter("doc <> ''").withColumn("doc_id", F.col("doc").cast("long"))
-    first = found.groupBy("doc_id").agg(F.min(F.struct("page_id", "declared", "host")).alias("p"))
-    return first.select("doc_id", "p.declared", "p.host", F.regexp_extract("p.host", r"([^.:]+)(?::\d+)?$", 1).alias("suffix"))
+    return found.filter("doc <> ''").select(F.col("doc").cast("long").alias("doc_id"), "page_id", "declared", "host", F.regexp_extract("host", r"([^.:]+)(?::\d+)?$", 1).alias("suffix"))
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """(doc_id, declared, host, suffix) of the first of a document's pages."""
+    first = named_pages(pages).groupBy("doc_id").agg(F.min(F.struct("page_id", "declared", "host", "suffix")).alias("p"))
+    return first.select("doc_id", "p.declared", "p.host", "p.suffix")
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", **evidence) -> DataFrame:

@@ -61,6 +61,19 @@ def test_page_evidence(spark):
     assert got == {7: (None, "h.net:80", "net"), 8: (None, "a.b", "b")}
 
 
+def test_every_page_of_a_document_counts(spark):
+    texts = [spoken("aa", k) for k in range(60)] + [spoken("bb", k) for k in range(60)] + ["x", "x"]
+    docs = documents(spark, texts, langs=["aa"] * 60 + ["bb"] * 60 + [None] * 2)
+    page = "<html lang={}>".format
+    rows = [(f"http://{'a.one.net' if k < 60 else 'b.two.org'}/{k}", page("aa" if k < 60 else "bb")) for k in range(120)]
+    rows += [("http://a.one.net/120", page("aa")), *[(f"http://b.two.org/120?{k}", page("bb")) for k in range(3)]]  # the first page against three
+    rows += [("http://new.info/121", "<html>"), ("http://new.info/121", page("bb"))]  # the first one declares nothing
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.doc_id: r for r in language_id.identify(docs, pages=pages).collect()}
+    assert len(got) == 122
+    assert [got[k].language for k in (120, 121)] == ["bb", "bb"] and got[120].confidence > 0.9
+
+
 def brute_base(text):
     space = " \t\n\x0b\x0c\r"
     words = re.findall("[^\x20\x09-\x0d]+", text)
