@@ -31,6 +31,8 @@ PARENT_WEIGHT, TABLE_WEIGHT = 20.0, 1.0
 #: Documents whose best language has less posterior than this are rejected.
 CONFIDENT = 0.5
 KINDS = ("declared", "host", "suffix")
+#: The first <html> tag with a ``lang`` attribute, wherever it is. Possessive, and no tag crosses a "<": linear in the text.
+HTML_LANG = r"""(?i)<html(?=\s)(?:[^<>"'\s]++|"[^"<]*+"|'[^'<]*+'|\s++(?!lang\s*+=))*+\s++lang\s*+=\s*+["']?([a-z]++)"""
 #: Evidence terms are broadcast up to so many numbers, and joined by shuffle beyond.
 BROADCAST_TERMS = 200_000
 
@@ -164,7 +166,7 @@ def identify(
 def named_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page_id, declared, host, suffix) of every page whose address names a document: its ``lang`` attribute and host."""
     doc = F.regexp_extract("url", r"://[^/?#]*/(?:[a-z]+/)?(\d{1,18})", 1)
-    markup = F.regexp_extract(F.substring("html", 1, 500), r"(?is)^.{0,300}?<html[^>]*\slang=[\"']?([a-z]+)", 1)
+    markup = F.regexp_extract("html", HTML_LANG, 1)
     found = pages.filter("url IS NOT NULL").select("page_id", doc.alias("doc"), F.nullif(markup, F.lit("")).alias("declared"), F.regexp_extract("url", r"://([^/?#]*)", 1).alias("host"))
     return found.filter("doc <> ''").select(F.col("doc").cast("long").alias("doc_id"), "page_id", "declared", "host", F.regexp_extract("host", r"([^.:]+)(?::\d+)?$", 1).alias("suffix"))
 

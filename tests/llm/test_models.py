@@ -61,6 +61,17 @@ def test_page_evidence(spark):
     assert got == {7: (None, "h.net:80", "net"), 8: (None, "a.b", "b")}
 
 
+def test_declared_markup_language_of_whole_pages(spark):
+    html = [
+        "<?xml version='1.0'?>\n<!-- " + "licence " * 100_000 + "--><html lang=de>", "<!--[if IE]><html class=ie><![endif]-->" + " " * 600 + "<HTML\n  Lang = 'fr-CA'>",
+        f'<html data-a="{"x > y " * 200}" xml:lang="zz" lang="es">', "<html lang=''><body lang=en>", "<htmlx lang=en>", "<html a lang=it" * 2, "<html " + "a='b' c " * 50_000 + 'lang="nl">',
+        "<html " * 200_000, "<html \"" * 100_000, "<html" + " " * 1_000_000, "", None,
+    ]
+    pages = spark.createDataFrame([(k, f"http://a.b/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.doc_id: r.declared for r in language_id.named_pages(pages).collect()}
+    assert [got[k] for k in range(len(html))] == ["de", "fr", "es", None, None, "it", "nl"] + [None] * 5
+
+
 def test_every_page_of_a_document_counts(spark):
     texts = [spoken("aa", k) for k in range(60)] + [spoken("bb", k) for k in range(60)] + ["x", "x"]
     docs = documents(spark, texts, langs=["aa"] * 60 + ["bb"] * 60 + [None] * 2)
