@@ -13,6 +13,8 @@ from ledgerloom.llm.suffix_dedup import gram_hashes
 
 #: Bytes of a text that are hashed at once; grams that cross from one piece to the next are counted too.
 PIECE = 1 << 20
+#: Classes whose counts a task holds at once.
+HELD = 64
 
 
 def gram_buckets(text: bytes, gram: int, bits: int) -> Iterator[np.ndarray]:
@@ -39,23 +41,29 @@ def gram_sums(text: bytes, gram: int, bits: int, tables: np.ndarray) -> tuple[np
 
 
 def class_counts(docs: DataFrame, gram: int, bits: int) -> DataFrame:
-    """(class, bucket, n) over documents with columns ``class`` (a small number of values) and ``text``: each task counts
-    its share, the counts are summed by a grouped aggregation."""
+    """(class, bucket, n) over documents with columns ``class`` and ``text``: each task counts its share, HELD classes at a
+    time, the counts are summed by a grouped aggregation."""
+
+    def counted_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for c, s in sums.items():
+            found = np.flatnonzero(s)
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(found), pa.string()), pa.array(found), pa.array(s[found])], ["class", "bucket", "n"])
+        sums.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if c not in sums:
+                    if len(sums) == HELD:
+                        yield from counted_of(sums)
                     sums[c] = np.zeros(1 << bits, np.int64)
                 for buckets in gram_buckets((t or "").encode(), gram, bits):
                     if len(buckets) > 1 << bits:
                         sums[c] += np.bincount(buckets, minlength=1 << bits)
                     else:
                         np.add.at(sums[c], buckets, 1)
-        for c, s in sums.items():
-            found = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(found), pa.string()), pa.array(found), pa.array(s[found])], ["class", "bucket", "n"])
+        yield from counted_of(sums)
 
     counted = docs.select(F.col("class").cast("string"), F.col("text").cast("string")).mapInArrow(run, "class string, bucket long, n long")
     return counted.groupBy("class", "bucket").agg(F.sum("n").alias("n"))

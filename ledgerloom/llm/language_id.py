@@ -11,20 +11,24 @@ aggregation each over every document's text posterior.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import small_batches, stash
-from ledgerloom.llm.grams import as_tables, class_counts, gram_sums
+from ledgerloom.llm.grams import class_counts, gram_buckets
 
 GRAM, BITS = 3, 14
 #: Labelled documents per language that the text model is fitted on: those with the least hashed ids.
 PER_LANGUAGE = 2_000
-#: Languages that are told apart at most, the most frequent ones.
-LANGUAGES = 64
+#: What each bucket is counted in addition, in grams.
+SMOOTHING = 0.1
+#: Model entries that a task gathers at once; sampled ids up to which they are broadcast, and joined by shuffle beyond.
+ENTRIES, BROADCAST_IDS = 2_000_000, 200_000
 EFFECTIVE = 40.0
 #: Weight of a parent's distribution in a host's prior, in documents; of uniform counts in the evidence tables.
 PARENT_WEIGHT, TABLE_WEIGHT = 20.0, 1.0
@@ -37,20 +41,68 @@ HTML_LANG = r"""(?i)<html(?=\s)(?:[^<>"'\s]++|"[^"<]*+"|'[^'<]*+'|\s++(?!lang\s*
 BROADCAST_TERMS = 200_000
 
 
-def fit_text(docs: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log P(bucket | language), from a bounded labelled sample."""
+@dataclass(frozen=True)
+class TextModel:
+    """log P(bucket | language) of any number of languages: ``base`` of each language for buckets that its sample lacks, and
+    by bucket (``starts``) the languages that have it with what that adds."""
+
+    base: np.ndarray
+    starts: np.ndarray
+    classes: np.ndarray
+    extra: np.ndarray
+
+    @staticmethod
+    def of(counts: pa.Table, languages: list[str]) -> TextModel:
+        """``counts``: rows of class, bucket, n."""
+        names = counts["class"].combine_chunks().dictionary_encode()
+        place = {c: k for k, c in enumerate(languages)}
+        classes = np.array([place[c] for c in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()] if len(names) else np.zeros(0, np.int32)
+        buckets, n = counts["bucket"].to_numpy(), counts["n"].to_numpy().astype(float)
+        base = np.log(SMOOTHING) - np.log(np.bincount(classes, n, len(languages)) + SMOOTHING * (1 << BITS))
+        order = np.lexsort((classes, buckets))
+        starts = np.concatenate(([0], np.cumsum(np.bincount(buckets, minlength=1 << BITS))))
+        return TextModel(base, starts, classes[order], np.log((n + SMOOTHING) / SMOOTHING)[order])
+
+    def sums(self, text: bytes) -> tuple[np.ndarray, int]:
+        """log P(text | language) of each language, and the number of grams."""
+        times = np.zeros(1 << BITS, np.int64) if len(text) > 1 << BITS else None
+        if times is None:
+            grams = [*gram_buckets(text, GRAM, BITS)]
+            found, times = np.unique(grams[0], return_counts=True) if grams else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        else:
+            for buckets in gram_buckets(text, GRAM, BITS):
+                times += np.bincount(buckets, minlength=1 << BITS)
+            found = np.flatnonzero(times)
+            times = times[found]
+        total, n = np.zeros(len(self.base)), int(times.sum())
+        step = max(1, ENTRIES // len(self.base))  # entries that are gathered at once
+        for k in range(0, len(found), step):
+            first = self.starts[found[k : k + step]]
+            sizes = self.starts[found[k : k + step] + 1] - first
+            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            total += np.bincount(self.classes[at], np.repeat(times[k : k + step], sizes) * self.extra[at], len(total))
+        return total + n * self.base, n
+
+
+def fit_text(docs: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[list[str], TextModel]:
+    """All labels in order, and the text model from a bounded labelled sample of each."""
     rows = docs.select(F.col(id_col).alias("_id"), F.lower(F.trim(label_col)).alias("class"), F.col(text_col).alias("text"))
     rows = rows.filter("_id IS NOT NULL AND class IS NOT NULL AND class <> '' AND class <> 'und' AND text IS NOT NULL")
-    frequent = [r["class"] for r in rows.groupBy("class").count().orderBy(F.desc("count"), "class").limit(LANGUAGES).collect()]
-    if not frequent:
-        return ["und"], np.zeros((1, 1 << BITS))
-    picked = None
-    for c in sorted(frequent):
-        own = rows.filter(F.col("class") == c).select("_id", "class").orderBy(F.xxhash64("_id"), "_id").limit(PER_LANGUAGE)
-        picked = own if picked is None else picked.unionByName(own)
-    sample = rows.join(F.broadcast(picked.distinct()), ["_id", "class"])  # at most LANGUAGES x PER_LANGUAGE ids
-    counts = as_tables(class_counts(sample, GRAM, BITS), sorted(frequent), BITS) + 0.1
-    return sorted(frequent), np.log(counts / counts.sum(axis=1, keepdims=True))
+    # The bin of hashes in which a label's sample is full, from counts per bin: only rows up to it are ranked.
+    cell = F.shiftright(F.xxhash64("_id"), 52).alias("cell")
+    cells = rows.groupBy("class", cell).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("cell")) - F.col("n")  # at most 4,096 rows per label
+    last = stash(cells.withColumn("before", before).filter(F.col("before") < PER_LANGUAGE).groupBy("class").agg(F.max("cell").alias("last"), F.sum("n").alias("n")), "language-cells")
+    languages = sorted(r["class"] for r in last.select("class").collect())
+    if not languages:
+        return ["und"], TextModel(np.zeros(1), np.zeros((1 << BITS) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0))
+    near = rows.select("_id", "class", cell).join(F.broadcast(last.select("class", "last")), "class").filter("cell <= last")  # one row per label
+    least = Window.partitionBy("class").orderBy(F.xxhash64("_id"), "_id")
+    picked = near.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= PER_LANGUAGE).select("_id", "class").distinct()
+    if last.agg(F.sum("n")).first()[0] <= BROADCAST_IDS:
+        picked = F.broadcast(picked)
+    counts = class_counts(rows.join(picked, ["_id", "class"]).select("class", "text"), GRAM, BITS).toArrow()
+    return languages, TextModel.of(counts, languages)
 
 
 def _log_shares(scores: np.ndarray) -> np.ndarray:
@@ -87,13 +139,13 @@ def identify(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    languages, tables = fit_text(docs, label_col, id_col, text_col)
-    model = spark.sparkContext.broadcast(tables)  # at most LANGUAGES << BITS numbers
+    languages, fitted = fit_text(docs, label_col, id_col, text_col)
+    model = spark.sparkContext.broadcast(fitted)  # one number per language and bucket that its sample has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [f" {t} " if t and t.strip() else "" for t in b.column(1).to_pylist()]  # a gram for the shortest word
-            sums = [gram_sums(t.encode(), GRAM, BITS, model.value) for t in texts]
+            sums = [model.value.sums(t.encode()) for t in texts]
             scores = [_log_shares(s * (min(n, EFFECTIVE) / n)) if n else np.zeros(len(s)) for s, n in sums]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.list_(pa.float64())), pa.array([n for _, n in sums], pa.int64()), *b.columns[2:]], ["doc_id", "scores", "n_grams", *KINDS])
 

@@ -61,6 +61,34 @@ def test_page_evidence(spark):
     assert got == {7: (None, "h.net:80", "net"), 8: (None, "a.b", "b")}
 
 
+def test_every_label_is_a_language(spark):
+    def word(k, j):
+        return "".join(chr(0x4E00 + 40 * k + random.Random(f"{k} {j} {i}").randrange(40)) for i in range(30))
+
+    texts = [word(k, j) for k in range(70) for j in range(2 + (k < 64))] + [word(k, 9) for k in range(70)]
+    langs = [f"l{k:02}" for k in range(70) for _ in range(2 + (k < 64))] + [None] * 70
+    docs = documents(spark, texts, langs=langs)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    known = len(texts) - 70
+    assert all(got[known + k].language == f"l{k:02}" and got[known + k].accepted for k in range(70))
+    languages, model = language_id.fit_text(docs, "lang", "doc_id", "text")
+    counts = np.stack([sum(grams.gram_counts(t.encode(), 3, 14) for t, lang in zip(texts, langs, strict=True) if lang == c) for c in languages]) + 0.1
+    for text in ["", "ab", word(3, 9), word(69, 9) * 300]:
+        expected, n = grams.gram_sums(text.encode(), 3, 14, np.log(counts / counts.sum(axis=1, keepdims=True)))
+        assert model.sums(text.encode())[1] == n and np.allclose(model.sums(text.encode())[0], expected)
+
+
+def test_label_sample_is_of_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 5)
+    docs = documents(spark, [f"{chr(97 + k % 26)}{k:03}" for k in range(300)], langs=["aa" if k % 4 else "bb" for k in range(300)])
+    languages, model = language_id.fit_text(docs, "lang", "doc_id", "text")
+    texts = {c: [r.text for r in docs.filter(F.col("lang") == c).orderBy(F.xxhash64("doc_id")).limit(5).collect()] for c in languages}
+    counts = np.stack([sum(grams.gram_counts(t.encode(), 3, 14) for t in texts[c]) for c in languages]) + 0.1
+    assert languages == ["aa", "bb"]
+    expected = grams.gram_sums(b"a104 b105", 3, 14, np.log(counts / counts.sum(axis=1, keepdims=True)))[0]
+    assert np.allclose(model.sums(b"a104 b105")[0], expected)
+
+
 def test_declared_markup_language_of_whole_pages(spark):
     html = [
         "<?xml version='1.0'?>\n<!-- " + "licence " * 100_000 + "--><html lang=de>", "<!--[if IE]><html class=ie><![endif]-->" + " " * 600 + "<HTML\n  Lang = 'fr-CA'>",
