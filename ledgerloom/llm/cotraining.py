@@ -2,28 +2,33 @@
 
 Two logistic models start from the same labelled documents. In each round each one labels the unlabelled documents it
 is surest of for the other, then both are fitted again. A held-out part of the labels calibrates each view and weighs the
-two; the combination scores every document. Only the fitting works on a bounded sample; scoring is one distributed pass.
+two; the combination scores every document. The labelled sample is bounded; each round scores the whole unlabelled corpus
+in a distributed pass and takes the surest of all documents, as the final scoring is one more pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import small_batches, stash, trim_memory
 from ledgerloom.llm.grams import gram_buckets
 
 GRAM, TEXT_BITS, META_BITS = 3, 10, 8
-#: Labelled and unlabelled documents that the models are fitted on, those with the least hashed ids; both reach the driver as features.
-LABELLED, POOL = 4_000, 2_000
+#: Labelled documents that the models are fitted on, those with the least hashed ids; they reach the driver as features.
+LABELLED = 4_000
+#: Labelled ids are broadcast up to so many, and joined by shuffle (with scores, not texts) beyond.
+BROADCAST_IDS = 200_000
 #: Documents are called bad only below this probability: losing a good one costs four times keeping a bad one.
 LEAST = 0.2
 ROUNDS, PER_ROUND, SURE = 4, 200, 0.9
+SURE_LOGIT = float(np.log(SURE / (1 - SURE)))
 
 
 def text_features(text: str) -> np.ndarray:
@@ -95,23 +100,39 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(w[0], 0.0) / scale[0], max(w[1], 0.0) / scale[1], w[2]])
 
 
+#: In a round: per view the text features, the metadata features and the labels of the documents that it is surest of.
+Picks = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
-    """Rounds of exchanged pseudo-labels; every third labelled row only calibrates."""
-    held = np.arange(len(y)) % 3 == 2
-    train = [(text[~held], y[~held]), (meta[~held], y[~held])]
+    """:func:`exchange` over a pool held as arrays."""
     pools, free = (pool_text, pool_meta), np.ones(len(pool_text), bool)
-    weights = [fit_logistic(x, labels) for x, labels in train]
-    for _ in range(ROUNDS):
-        for own, other in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-np.clip(pools[own] @ weights[own], -50, 50)))
+
+    def choose(weights: list[np.ndarray]) -> Picks:
+        out = []
+        for own in (0, 1):
+            z = pools[own] @ weights[own]
             sure = []
-            for side in (p, 1 - p):
-                found = np.flatnonzero(free & (side >= SURE))
+            for side in (z, -z):
+                found = np.flatnonzero(free & (side >= SURE_LOGIT))
                 sure.append(found[np.argsort(-side[found], kind="stable")][:PER_ROUND])
             picked = np.concatenate(sure)
             free[picked] = False
-            labels = np.concatenate([np.ones(len(sure[0])), np.zeros(len(sure[1]))])
-            train[other] = (np.concatenate([train[other][0], pools[other][picked]]), np.concatenate([train[other][1], labels]))
+            out.append((pool_text[picked], pool_meta[picked], np.repeat([1.0, 0.0], [len(sure[0]), len(sure[1])])))
+        return out
+
+    return exchange(text, meta, y, choose)
+
+
+def exchange(text: np.ndarray, meta: np.ndarray, y: np.ndarray, choose: Callable[[list[np.ndarray]], Picks]) -> CoTrained:
+    """Rounds of exchanged pseudo-labels; every third labelled row only calibrates."""
+    held = np.arange(len(y)) % 3 == 2
+    train = [(text[~held], y[~held]), (meta[~held], y[~held])]
+    weights = [fit_logistic(x, labels) for x, labels in train]
+    for _ in range(ROUNDS):
+        for own, (*features, labels) in enumerate(choose(weights)):
+            other = 1 - own
+            train[other] = (np.concatenate([train[other][0], features[other]]), np.concatenate([train[other][1], labels]))
         weights = [fit_logistic(x, labels) for x, labels in train]
     z = np.stack([text[held] @ weights[0], meta[held] @ weights[1]], axis=1)
     return CoTrained(weights[0], weights[1], calibrate(z, y[held]))
@@ -137,19 +158,84 @@ def _matrix(packed: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(p) for p in packed), np.float32).reshape(-1, width) if packed else np.zeros((0, width), np.float32)
 
 
+WIDTHS = (1 << TEXT_BITS) + 1, (1 << META_BITS) + 1
+
+
+def surest(docs: DataFrame, named: DataFrame, weights: list[np.ndarray], taken: set[int], meta: tuple[str, ...]) -> list[list[tuple[int, float]]]:
+    """(key, label) of the documents of ``docs`` (_id, _key, text, metadata) that each view is surest of, none of them
+    ``taken`` or with an id in ``named``.
+
+    One pass over the texts, then only ids and scores move. The text view chooses first, so the other one has as many more
+    candidates as may be taken from it.
+    """
+    told = docs.sparkSession.sparkContext.broadcast((weights, taken))
+    most = PER_ROUND, 3 * PER_ROUND
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (by_text, by_meta), gone = told.value
+        for b in batches:
+            values = [c.to_pylist() for c in b.columns[3:]]
+            z = np.zeros((b.num_rows, 2))
+            keys = b.column(1).to_pylist()
+            for k, t in enumerate(b.column(2).to_pylist()):
+                if keys[k] not in gone:
+                    z[k] = text_features(t or "") @ by_text, meta_features({m: v[k] for m, v in zip(meta, values, strict=True)}) @ by_meta
+            sure = pa.array((np.abs(z) >= SURE_LOGIT).any(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z[:, 0]), pa.array(z[:, 1])], ["_id", "_key", "z0", "z1"]).filter(sure)
+        trim_memory()
+
+    found = docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, _key long, z0 double, z1 double")
+    found = stash(found.join(named, "_id", "left_anti").drop("_id"), "view-scores")
+    sides = [(-F.col(f"z{side // 2}") if side % 2 else F.col(f"z{side // 2}")).alias("sure") for side in range(4)]  # text view: good, bad; metadata view: good, bad
+
+    def tops(scores: DataFrame) -> list:
+        each = [scores.select(F.lit(side).alias("side"), F.col("_key").alias("key"), sure).filter(F.col("sure") >= SURE_LOGIT).orderBy(F.desc("sure"), "key").limit(most[side // 2]) for side, sure in enumerate(sides)]
+        return reduce(DataFrame.unionByName, each).collect()  # at most 8 * PER_ROUND
+
+    rows = tops(found)
+    if len({(r.side, r.key) for r in rows}) < len(rows):  # equal rows took places of others
+        rows = tops(found.dropDuplicates(["_key"]))
+    ranked: list[list[int]] = [[] for _ in range(4)]
+    for r in sorted(rows, key=lambda r: (-r.sure, r.key)):
+        ranked[r.side].append(r.key)
+    out, gone = [], set()
+    for own in (0, 1):
+        sure = [[k for k in ranked[2 * own + side] if k not in gone][:PER_ROUND] for side in (0, 1)]
+        out.append([(k, label) for keys, label in zip(sure, (1.0, 0.0), strict=True) for k in keys])
+        gone.update(*sure)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...], label_col: str, id_col: str, text_col: str) -> CoTrained:
     named = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IS NOT NULL")
     named = named.groupBy("_id").agg(F.min("_label").alias("_label"))
     sample = named.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
-    pool = docs.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct().join(named, "_id", "left_anti")
-    pool = pool.orderBy(F.xxhash64("_id"), "_id").limit(POOL).withColumn("_label", F.lit(-1))
-    chosen = docs.withColumn("_id", F.col(id_col)).join(F.broadcast(sample.unionByName(pool)), "_id")  # at most LABELLED + POOL ids
-    rows = sorted(_features(chosen, meta, text_col, ["_id", "_label"]).collect(), key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["_id"]))
-    known, free = [r for r in rows if r["_label"] >= 0], [r for r in rows if r["_label"] < 0]
-    widths = (1 << TEXT_BITS) + 1, (1 << META_BITS) + 1
+    chosen = docs.withColumn("_id", F.col(id_col)).join(F.broadcast(sample), "_id")  # at most LABELLED ids
+    known = sorted(_features(chosen, meta, text_col, ["_id", "_label"]).collect(), key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["_id"]))
     y = np.array([min(1, r["_label"]) for r in known], np.float64)
-    views = [_matrix([r[c] for r in part], w) for part in (known, free) for c, w in zip(("own", "other"), widths, strict=True)]
-    return co_train(views[0], views[1], y, views[2], views[3])
+    text, other = (_matrix([r[c] for r in known], w) for c, w in zip(("own", "other"), WIDTHS, strict=True))
+    if not len(y):
+        return exchange(text, other, y, lambda weights: [])
+
+    # Equal rows are one document; rows without an id are unlabelled too.
+    keyed = docs.withColumn("_id", F.col(id_col)).withColumn("_key", F.xxhash64("_id", F.col(text_col).cast("string"), *meta))
+    named = stash(named.select("_id"), "labelled")
+    if named.count() <= BROADCAST_IDS:
+        named = F.broadcast(named)
+    pool = keyed.select("_id", "_key", F.col(text_col).cast("string").alias("text"), *[F.col(m).alias(f"meta{k}") for k, m in enumerate(meta)])
+    taken: set[int] = set()
+
+    def choose(weights: list[np.ndarray]) -> Picks:
+        picks = surest(pool, named, weights, taken, meta)
+        keys = [k for view in picks for k, _ in view]
+        taken.update(keys)
+        rows = {}
+        if keys:
+            wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keys], "_key long"))  # at most 4 * PER_ROUND keys
+            rows = {r["_key"]: r for r in _features(keyed.join(wanted, "_key").dropDuplicates(["_key"]), meta, text_col, ["_key"]).collect()}
+        return [(*(_matrix([rows[k][c] for k, _ in view], w) for c, w in zip(("own", "other"), WIDTHS, strict=True)), np.array([label for _, label in view])) for view in picks]
+
+    return exchange(text, other, y, choose)
 
 
 def score_quality(

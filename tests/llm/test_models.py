@@ -177,3 +177,37 @@ def test_co_training_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in cotraining.score_quality(documents(spark, ["a", None, "a"], ids=[1, None, 1]), none).collect()} == {0.5}
     assert cotraining.score_quality(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_co_training_chooses_from_all_unlabelled_documents(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "PER_ROUND", 5)
+    docs = documents(spark, [f"{prose(k, 2)} {k}" for k in range(2600)] + ["sure " * 9, "sure " * 9, "null id"], ids=[*range(2600), 7, 7, None])
+    pool = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"), "text", F.col("n_chars").alias("meta0"))
+    named = pool.filter("_id % 5 = 0").select("_id").distinct()
+    rows = pool.filter("_id IS NULL OR _id % 5 <> 0").distinct().collect()
+    rng = np.random.default_rng(1)
+    weights = [rng.normal(0, 20, w).astype(np.float32) for w in cotraining.WIDTHS]
+    features = [np.stack([cotraining.text_features(r.text) for r in rows]), np.stack([cotraining.meta_features({"n_chars": r.meta0}) for r in rows])]
+    taken, free = {rows[k]["_key"] for k in range(0, len(rows), 3)}, None
+    free = [k for k in range(len(rows)) if rows[k]["_key"] not in taken]
+    expected = []
+    for own in (0, 1):
+        z = {k: float(features[own][k] @ weights[own]) for k in free}
+        view = []
+        for sign, label in ((1, 1.0), (-1, 0.0)):
+            sure = sorted((k for k in free if sign * z[k] >= cotraining.SURE_LOGIT), key=lambda k: (-sign * z[k], rows[k]["_key"]))[:5]
+            view += [(rows[k]["_key"], label) for k in sure]
+        free = [k for k in free if rows[k]["_key"] not in dict(view)]
+        expected.append(view)
+    assert cotraining.surest(pool, named, weights, taken, ("n_chars",)) == expected
+    assert len(expected[0]) == 10 and expected[1]
+
+
+def test_co_training_uses_every_unlabelled_row(spark, monkeypatch):
+    pools, inner = [], cotraining.surest
+    monkeypatch.setattr(cotraining, "surest", lambda pool, *a: pools.append(pool.count()) or inner(pool, *a))
+    monkeypatch.setattr(cotraining, "ROUNDS", 1)
+    docs = documents(spark, [f"w{k}" for k in range(2300)] + ["null id"], ids=[*range(2300), None])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    assert cotraining.score_quality(docs, labels).count() == 2301
+    assert pools == [2301]  # all rows are scored, labelled ones are left out of the choice
