@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ledgerloom.llm.common import shared_folder, small_batches, stash
 
 WINDOW = 4096
-#: Sources beyond the largest so many share one queue, which bounds the schedule that travels to the tasks.
+#: Queues that one level of the schedule deals to; of more sources the smaller ones have a level of their own below it.
 MAX_QUEUES = 512
 #: Sums per task and queue are broadcast up to this number of rows, and joined by shuffle beyond it.
 BROADCAST_SUMS = 100_000
@@ -130,15 +130,20 @@ class Schedule:
     phases: tuple[Phase, ...]
     total: int
     window: int = WINDOW
+    keep: int = 1_000_000  # numbers that are remembered
+    below: dict[int, Schedule] = field(default_factory=dict, repr=False, compare=False)  # groups of queues, dealt as one here
     _seen: dict[int, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
 
     @staticmethod
     def planned(totals: list[int], targets: list[float] | None = None, window: int = WINDOW) -> Schedule:
         """Targets: wanted proportions of tokens, by default those of the queues; each phase ends where a queue runs dry."""
-        left, served, start, phases = list(totals), [0] * len(totals), 0, []
         if targets is None:
-            return Schedule((Phase(0, tuple(totals), tuple(served)),), sum(totals), window)
-        scaled = [max(1, round(t * 1_000_000 / sum(targets))) if n else 0 for t, n in zip(targets, totals, strict=True)]
+            return Schedule((Phase(0, tuple(totals), (0,) * len(totals)),), sum(totals), window)
+        return Schedule.weighted(totals, scaled_targets(targets, totals), window)
+
+    @staticmethod
+    def weighted(totals: list[int], scaled: list[int], window: int = WINDOW) -> Schedule:
+        left, served, start, phases = list(totals), [0] * len(totals), 0, []
         while any(left):
             weights = [w if n else 0 for w, n in zip(scaled, left, strict=True)]
             all_w, spare = sum(weights), len(left)
@@ -153,35 +158,76 @@ class Schedule:
             start += length
         return Schedule(tuple(phases), start, window)
 
+    @staticmethod
+    def tiered(totals: list[int], targets: list[float] | None = None, window: int = WINDOW, most: int = MAX_QUEUES) -> tuple[Schedule, list[tuple[int, ...]]]:
+        """The schedule of any number of queues, and each one's path in it: the first ``most`` queues are dealt to directly,
+        the others in at most ``most`` groups, each with the sum of its queues' tokens and weights and a schedule of its own
+        for the tokens that it gets."""
+        weights = totals if targets is None else scaled_targets(targets, totals)
+
+        def level(members: list[int]) -> tuple[Schedule, dict[int, tuple[int, ...]]]:
+            rest = members[most:]
+            size = max(1, -(-len(rest) // most))
+            groups = [rest[k : k + size] for k in range(0, len(rest), size)]
+            parts = [[k] for k in members[:most]] + groups
+            sums = [[sum(c[k] for k in part) for part in parts] for c in (totals, weights)]
+            own = Schedule((Phase(0, tuple(sums[0]), (0,) * len(parts)),), sum(sums[0]), window) if targets is None else Schedule.weighted(*sums, window)
+            paths = {k: (place,) for place, k in enumerate(members[:most])}
+            for place, part in enumerate(groups, len(members[:most])):
+                if len(part) == 1:
+                    paths[part[0]] = (place,)
+                    continue
+                own.below[place], inner = level(part)
+                own.below[place].keep = 4_000
+                paths.update({k: (place, *path) for k, path in inner.items()})
+            return own, paths
+
+        top, paths = level(list(range(len(totals))))
+        return top, [paths[k] for k in range(len(totals))]
+
+    def reached(self, w: int, path: tuple[int, ...]) -> tuple[int, int]:
+        """Tokens taken from a queue in the windows before ``w``, and those from all queues that come before it."""
+        served, at = self.served(w), path[0]
+        n, ahead, node = served[at], sum(served[:at]), self
+        for k in path[1:]:
+            node = node.below[at]
+            served, at = node.dealt(n), k
+            n, ahead = served[at], ahead + sum(served[:at])
+        return n, ahead
+
     def served(self, w: int) -> tuple[int, ...]:
-        """Tokens taken from each queue in the windows before ``w``."""
-        if (found := self._seen.get(w)) is None:
-            tokens = min(w * self.window, self.total)
+        """Tokens taken from each queue of this level in the windows before ``w``."""
+        return self.dealt(min(w * self.window, self.total))
+
+    def dealt(self, tokens: int) -> tuple[int, ...]:
+        """Tokens taken from each queue of this level when it has dealt ``tokens``."""
+        if (found := self._seen.get(tokens)) is None:
             p = next((p for p in reversed(self.phases) if p.start <= tokens), self.phases[0])
             found = tuple(b + n for b, n in zip(p.before, nested_floor(tokens - p.start, p.weights), strict=True))
-            if len(self._seen) > 50_000:
+            if len(self._seen) * len(p.weights) > self.keep:
                 self._seen.clear()
-            self._seen[w] = found
+            self._seen[tokens] = found
         return found
 
-    def window_of(self, queue: int, position: int) -> int:
+    def window_of(self, path: tuple[int, ...], position: int) -> int:
         """The window that takes this token of the queue, by binary search over the carried state."""
         low, high = 0, -(-self.total // self.window)
         while high - low > 1:
             mid = (low + high) // 2
-            low, high = (mid, high) if self.served(mid)[queue] <= position else (low, mid)
+            low, high = (mid, high) if self.reached(mid, path)[0] <= position else (low, mid)
         return low
 
-    def pieces(self, queue: int, first: int, n: int, near: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    def pieces(self, path: int | tuple[int, ...], first: int, n: int, near: int = 0) -> Iterator[tuple[int, int, int, int]]:
         """(start in the document, length, sequence, offset there) of a document that holds [first, first + n) of a queue."""
         last = self.total // self.window  # the window that is not full, if any
-        w = near if self.served(near)[queue] <= first < self.served(near + 1)[queue] else self.window_of(queue, first)
+        path = (path,) if isinstance(path, int) else path
+        w = near if self.reached(near, path)[0] <= first < self.reached(near + 1, path)[0] else self.window_of(path, first)
         done = 0
         while done < n:
-            a, b = self.served(w), self.served(w + 1)
-            take = min(n - done, b[queue] - first - done)
+            (a, ahead), (b, ahead_next) = self.reached(w, path), self.reached(w + 1, path)
+            take = min(n - done, b - first - done)
             if take > 0:
-                at = sum(b[:queue]) - sum(a[:queue]) + first + done - a[queue]
+                at = ahead_next - ahead + first + done - a
                 if w < last:
                     yield done, take, w, at
                 else:
@@ -203,6 +249,12 @@ class Schedule:
                 sequence += 1
 
 
+def scaled_targets(targets: list[float], totals: list[int]) -> list[int]:
+    """Whole weights, in millionths, of queues that have tokens; at least one each."""
+    whole = sum(targets) or 1.0
+    return [max(1, round(t * 1_000_000 / whole)) if n else 0 for t, n in zip(targets, totals, strict=True)]
+
+
 def nested_floor(tokens: int, weights: Iterable[int]) -> list[int]:
     """Whole tokens due to each queue after ``tokens`` in all: sums to ``tokens``, never falls as it grows, and each
     queue's deficit (its share less what it got) stays within one token per queue before it."""
@@ -254,17 +306,14 @@ def pack_documents(
     tokens = spark.read.schema(schema).parquet(path)
 
     sums = stash(tokens.groupBy("queue", "tag").agg(F.sum("n").alias("n")), "queue-sums")
-    largest = [r.queue for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue").limit(MAX_QUEUES).collect()]
-    named = {q: k for k, q in enumerate(largest)}
-    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for q, k in named.items() for x in (q, k)]), F.col("queue")), F.lit(len(named))) if named else F.lit(0)
-    sums = sums.withColumn("k", number)
-    totals = [0] * (len(named) + 1)
-    for r in sums.groupBy("k").agg(F.sum("n").alias("n")).collect():
-        totals[r.k] = r.n
-    wanted = None
-    if targets is not None:
-        wanted = [targets.get("" if q == REST else q, 0.0) for q in largest] + [0.0]
-    plan = Schedule.planned(totals, wanted, window)
+    # One name and number per source reach the driver; those with a target come first, then the largest.
+    found = [(r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()]
+    target = {q: (targets or {}).get("" if q == REST else q, 0.0) for q, _ in found}
+    found.sort(key=lambda e: (not target[e[0]], -e[1], e[0]))
+    plan, paths = Schedule.tiered([n for _, n in found], None if targets is None else [target[q] for q, _ in found], window)
+    numbers = spark.createDataFrame([(q, k) for k, (q, _) in enumerate(found)], "queue string, k int")
+    sums = sums.join(F.broadcast(numbers) if len(found) <= BROADCAST_SUMS else numbers, "queue")
+    told = spark.sparkContext.broadcast((plan, paths))
     before = Window.partitionBy("k").orderBy("tag", "queue").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sums.select("queue", "tag", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
@@ -272,11 +321,12 @@ def pack_documents(
         width = tokenizer_at(tokenizer).width
         size = np.dtype(width).itemsize
         near: dict[int, int] = {}
+        plan, paths = told.value
         for batch in batches:
             rows: list[tuple] = []
             doc, src, ids, n, k, first = (batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "n", "k", "first"))
             for d, s, packed, m, q, at in zip(doc, src, ids, n, k, first, strict=True):
-                for start, length, sequence, offset in plan.pieces(q, at, m, near.get(q, 0)) if m else ():
+                for start, length, sequence, offset in plan.pieces(paths[q], at, m, near.get(q, 0)) if m else ():
                     own = packed[start * size : (start + length) * size]
                     crc = zlib.crc32(np.frombuffer(own, width).astype("<u4").tobytes())
                     rows.append((d, s, start, length, crc, m, sequence, offset, own))

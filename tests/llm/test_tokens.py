@@ -115,3 +115,36 @@ def test_packing_is_whole_for_empty_and_repeated_rows(spark):
     same = documents(spark, ["one two", "one two", None], ids=[7, 7, None])
     rows = packing.pack_documents(same, WORDS).collect()
     assert sum(r.length for r in rows) == 3 + 3 + 1
+
+
+@pytest.mark.parametrize("aimed", [False, True])
+def test_every_source_has_a_queue(aimed):
+    totals = [5000] * 3 + [400] * 37
+    targets = [1.0] * 3 + [0.5] * 37 if aimed else None
+    plan, paths = packing.Schedule.tiered(totals, targets, window=1000, most=4)
+    assert len(set(paths)) == 40 and max(map(len, paths)) > 2
+    filled, windows = {}, -(-plan.total // 1000)
+    for k, n in enumerate(totals):
+        at = 0
+        for start, length, sequence, offset in plan.pieces(paths[k], 0, n):
+            assert start == at
+            at += length
+            filled.setdefault(sequence, []).append((offset, length))
+        assert at == n
+        by_window = [plan.reached(w + 1, paths[k])[0] - plan.reached(w, paths[k])[0] for w in range(windows)]
+        share = (targets[k] / sum(targets) if aimed else n / sum(totals)) * 1000
+        assert all(abs(m - share) <= 12 for m in by_window[:10])
+    for pieces in filled.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+
+
+def test_small_source_gets_its_target(spark):
+    sources = [f"s{k:03}" for k in range(560)] + ["curated"] * 3
+    docs = documents(spark, ["word " * 400] * 560 + ["one two three " * 10] * 3, sources)
+    rows = packing.pack_documents(docs, WORDS, targets={"curated": 1.0} | {f"s{k:03}": 0.01 for k in range(560)}, window=256).collect()
+    assert sum(r.length for r in rows) == 560 * 401 + 3 * 31
+    early = sum(r.length for r in rows if r.source == "curated" and r.sequence_id < 4)
+    assert early == 3 * 31  # a share of 15 per cent: 93 tokens are dealt within 4 windows
