@@ -67,6 +67,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one per group of equal texts, with their own columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, one per group of equal texts, with their own columns.
+
+    The verdict is of the row, by id and text: of rows that share an id each text is judged by itself, and a group that has
+    only null ids keeps one of them. Of rows that share id and text one stays, by a hash of the row.
+    """
+    index = build_index(docs, id_col, text_col).select("keep_id", F.col("text_sha256").alias("_sha256"))
+    by = {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull()}
+    rows = docs.withColumns(by | {"_sha256": F.sha2(lower_ascii(F.coalesce(text_col, F.lit(""))), 256)})
+    kept = index.select("_sha256", F.coalesce(F.col("keep_id").cast("long"), F.lit(0)).alias("_id"), F.col("keep_id").isNull().alias("_none"))
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    one = rows.join(kept, [*by, "_sha256"], "left_semi").groupBy(*by, "_sha256").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return one.select("row.*")

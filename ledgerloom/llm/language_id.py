@@ -125,11 +125,22 @@ def _plus(a: Column, b: Column) -> Column:
     return F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
 
 
+def _evidence(*columns: Column | None) -> list[Column]:
+    return [F.lower(F.trim(c)).cast("string") if c is not None else F.lit(None).cast("string") for c in columns]
+
+
+def _digest(declared: Column | None, host: Column | None, suffix: Column | None, text_col: str) -> Column:
+    """A hash of the text and the evidence of a row, which also tells where nulls are."""
+    parts = [F.col(text_col).cast("string"), *_evidence(declared, host, suffix)]
+    return F.xxhash64(*parts, *[c.isNull() for c in parts])
+
+
 def identify(
     docs: DataFrame, label_col: str = "lang", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None,
-    pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+    pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, language, confidence, text_language, n_grams, accepted.
+    """One row per document: doc_id, language, confidence, text_language, n_grams, accepted; ``with_digest`` adds the
+    digest of what the row is judged by (:func:`_digest`).
 
     ``label_col`` trains the text model; ``declared``, ``host`` and ``suffix`` are columns of evidence (null where there is
     none: that factor is left out); ``pages`` (see :func:`named_pages`) overrides them where it has a value: every page of
@@ -147,13 +158,13 @@ def identify(
             texts = [f" {t} " if t and t.strip() else "" for t in b.column(1).to_pylist()]  # a gram for the shortest word
             sums = [model.value.sums(t.encode()) for t in texts]
             scores = [_log_shares(s * (min(n, EFFECTIVE) / n)) if n else np.zeros(len(s)) for s, n in sums]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.list_(pa.float64())), pa.array([n for _, n in sums], pa.int64()), *b.columns[2:]], ["doc_id", "scores", "n_grams", *KINDS])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.list_(pa.float64())), pa.array([n for _, n in sums], pa.int64()), *b.columns[2:]], ["doc_id", "scores", "n_grams", *KINDS, "digest"])
 
-    none = F.lit(None).cast("string")
     given = dict(zip(KINDS, (declared, host, suffix), strict=True))
-    evidence = [F.lower(F.trim(c)).cast("string") if c is not None else none for c in given.values()]
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(n) for c, n in zip(evidence, KINDS, strict=True)])
-    scored = stash(picked.mapInArrow(run, "doc_id long, scores array<double>, n_grams long, declared string, host string, suffix string"), "language-scores")
+    evidence = [c.alias(n) for c, n in zip(_evidence(declared, host, suffix), KINDS, strict=True)]
+    digest = _digest(declared, host, suffix, text_col) if with_digest else F.lit(None).cast("long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *evidence, digest.alias("digest"))
+    scored = stash(picked.mapInArrow(run, "doc_id long, scores array<double>, n_grams long, declared string, host string, suffix string, digest long"), "language-scores")
     base = scored
     paged = None
     if pages is not None:
@@ -201,7 +212,7 @@ def identify(
     if paged is not None:
         joined = joined.join(_summed(paged.join(terms, ["kind", "value"]), ["doc_id"], "term", "page_term"), "doc_id", "left")
         fused = _plus(fused, F.col("page_term"))
-    judged = joined.select("doc_id", "n_grams", "scores", fused.alias("q")).withColumn("top", F.array_max("q"))
+    judged = joined.select("doc_id", "digest", "n_grams", "scores", fused.alias("q")).withColumn("top", F.array_max("q"))
     names, some = F.array(*[F.lit(x) for x in languages]), F.col("n_grams") > 0
 
     def best(scores: str, top: Column) -> Column:
@@ -210,7 +221,7 @@ def identify(
     out = judged.select(
         "doc_id", best("q", F.col("top")).alias("language"),
         F.when(some, 1 / _total(F.transform("q", lambda x: F.exp(x - F.col("top"))))).otherwise(0.0).alias("confidence"),
-        best("scores", F.array_max("scores")).alias("text_language"), "n_grams",
+        best("scores", F.array_max("scores")).alias("text_language"), "n_grams", *(["digest"] if with_digest else []),
     )
     return out.withColumn("accepted", (F.col("language") != "und") & (F.col("confidence") >= CONFIDENT))
 
@@ -229,7 +240,14 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return first.select("doc_id", "p.declared", "p.host", "p.suffix")
 
 
-def drop_rejected(docs: DataFrame, id_col: str = "doc_id", **evidence) -> DataFrame:
-    """The rows of ``docs`` whose language is accepted."""
-    kept = identify(docs, id_col=id_col, **evidence).filter("accepted").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+def drop_rejected(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None,
+    suffix: Column | None = None, **others,
+) -> DataFrame:
+    """The rows of ``docs`` whose language is accepted; of rows that share an id (or have none) each is judged by itself."""
+    own = {"declared": declared, "host": host, "suffix": suffix, "text_col": text_col}
+    judged = identify(docs, id_col=id_col, with_digest=True, **own, **others).filter("accepted")
+    kept = judged.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("digest").alias("_digest")).distinct()
+    number = F.col(id_col).cast("long")
+    rows = docs.withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull(), "_digest": _digest(**own)})
+    return rows.join(kept, ["_id", "_none", "_digest"], "left_semi").select(*docs.columns)

@@ -242,6 +242,19 @@ def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str =
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group."""
-    kept = near_dedup(docs, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The rows of ``docs`` that stay: one document of each group.
+
+    Rows without an id and further texts of a repeated id are documents of their own, which come after all ids: they
+    stay unless they are near copies of another one.
+    """
+    digest = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    ids = docs.select(F.col(id_col).alias("_id"), digest.alias("_digest")).groupBy("_id").agg(F.min("_digest").alias("_first"), F.max("_digest").alias("_last"))
+    odd = stash(ids.filter("_id IS NULL OR _first <> _last").select("_id", "_first"), "odd-ids")
+    if odd.isEmpty():
+        kept = near_dedup(docs, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
+        return docs.join(kept, id_col, "left_semi")
+    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("_id", F.lit(0)), F.col("_id").isNull(), digest), 2)
+    rows = docs.withColumn("_id", F.col(id_col)).join(odd.filter("_id IS NOT NULL"), "_id", "left")
+    rows = stash(rows.withColumn("_row", F.when(F.col("_id").isNull() | (F.coalesce("_first", digest) != digest), late).otherwise(F.col("_id").cast("long"))), "numbered")
+    kept = near_dedup(rows, percent, id_col="_row", text_col=text_col).filter("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

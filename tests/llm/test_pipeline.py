@@ -3,7 +3,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerloom.llm.common import ASCII_UPPER
-from tests.llm.helpers import DOCS, prose
+from ledgerloom.llm import exact_dedup, language_id, minhash
+from tests.llm.helpers import DOCS, documents, prose
 from tests.llm.test_minhash import brute as near
 from tests.llm.test_minhash import edited
 from tests.llm.test_suffix_dedup import brute as repeats
@@ -49,3 +50,18 @@ def test_every_stage_against_plain_python(spark, tmp_path):
         for r in rows:
             got[r.doc_id] = got.get(r.doc_id, 0) + r.length
         assert got == tokens
+
+
+def test_rows_without_id_and_repeated_ids_stay(spark):
+    a, b, c, d = (prose(k, 60) for k in range(4))
+    docs = documents(spark, [a, a, b, c, c, d], ids=[7, 9, 7, None, None, None])
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_copies(docs).collect()) == sorted([(9, a), (7, b), (0, c), (0, d)])
+    docs = documents(spark, [a, " ", b, c, None], ids=[7, 7, None, 8, None])
+    kept = language_id.drop_rejected(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(7, a), (0, b), (8, c)])
+    near = a + " more"
+    docs = documents(spark, [a, near, b, c, near, d], ids=[3, 7, 7, None, None, 8])
+    kept = minhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(3, a), (7, b), (0, c), (8, d)])
