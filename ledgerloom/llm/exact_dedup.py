@@ -1,9 +1,9 @@
 """Exact dedup (10): an extendible-hash index of the distinct texts, kept as shared files.
 
 Texts are grouped by 64-bit key and bytes (the grouping compares the bytes, copies are folded map-side, so a text that
-holds a third of all rows leaves each task as one row). The distinct texts become index entries; a directory over the
-key's leading bits is doubled wherever a bucket is overfull, and owner tasks write one key range per bucket. Entries
-with one key and different bytes are chained and told apart by digest. Documents then look their entry up.
+holds a third of all rows leaves each task as one row). This grouping decides; the distinct texts become index entries,
+which a directory over the key's leading bits, doubled wherever a bucket is overfull, gives a bucket. Entries with one
+key and different bytes are chained and told apart by digest. Documents look their entry up by key and digest.
 """
 
 from __future__ import annotations
