@@ -42,14 +42,21 @@ def ship_package(spark: SparkSession) -> None:
     context._ledgerloom_shipped = True
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the folder that driver and executors share (``spark.checkpoint.dir``; a local one only
-    where that is unset) and read back: what it took to make it is not done twice, whoever reads it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a session on one machine
+    gets a folder of its own; on a cluster that is an error, for executors would each write to a folder of theirs."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: what it took to make it is not done twice, whoever
+    reads it."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
