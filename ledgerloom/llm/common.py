@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import ship_package
+from ledgerloom.session import shared_folder, ship_package
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`stash` writes inside are deleted at the end; what is still needed must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; the innermost :func:`scratch` deletes it."""
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,16 +82,30 @@ def trim_memory() -> None:
         pass
 
 
-def trimmed(fn: Callable) -> Callable:
-    """``fn`` with :func:`trim_memory` after each call; its parameters stay as they are, since Spark counts them."""
+#: What workers keep between tasks, by the operator that it belongs to: how to let go of it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def release(but: str | None = None) -> None:
+    """Empty the caches of all operators but one: a worker that serves another one holds nothing of those before."""
+    for name, clear in CACHES.items():
+        if name != but:
+            clear()
+
+
+def trimmed(fn: Callable, cache: str | None = None) -> Callable:
+    """``fn`` of one or two tables, with :func:`trim_memory` after each call; its parameters stay as they are, since Spark
+    counts them."""
 
     def one(a):
+        release(cache)
         try:
             return fn(a)
         finally:
             trim_memory()
 
     def two(a, b):
+        release(cache)
         try:
             return fn(a, b)
         finally:
@@ -82,6 +114,19 @@ def trimmed(fn: Callable) -> Callable:
     return one if fn.__code__.co_argcount == 1 else two
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache: str | None = None) -> Callable:
+    """``run`` over a task's batches; the worker lets go of other operators' caches before and of freed memory after."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(cache)
+        try:
+            yield from run(batches)
+        finally:
+            trim_memory()
+
+    return task
+
+
 def by_group(
     df: DataFrame, key: str, fn: Callable[[int, pa.Table], pa.RecordBatch | None], schema: str, n: int | None = None
 ) -> DataFrame:
@@ -112,4 +157,4 @@ def by_group(
 
     ship_package(df.sparkSession)
     dealt = df.repartition(key) if n is None else df.repartition(n, key)
-    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(key).mapInArrow(lean(run), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, stash, trim_memory
+from ledgerloom.llm.common import lean, small_batches, stash
 from ledgerloom.llm.grams import gram_buckets
 
 GRAM, TEXT_BITS, META_BITS = 3, 10, 8
@@ -151,7 +151,7 @@ def _features(docs: DataFrame, meta: tuple[str, ...], text_col: str, extra: list
 
     picked = docs.select(*extra, F.col(text_col).cast("string").alias("text"), *[F.col(m).alias(f"meta{k}") for k, m in enumerate(meta)])
     kinds = dict(picked.dtypes)
-    return picked.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in extra) + ", own binary, other binary")
+    return picked.mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in extra) + ", own binary, other binary")
 
 
 def _matrix(packed: list[bytes], width: int) -> np.ndarray:
@@ -182,9 +182,8 @@ def surest(docs: DataFrame, named: DataFrame, weights: list[np.ndarray], taken:
                     z[k] = text_features(t or "") @ by_text, meta_features({m: v[k] for m, v in zip(meta, values, strict=True)}) @ by_meta
             sure = pa.array((np.abs(z) >= SURE_LOGIT).any(axis=1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z[:, 0]), pa.array(z[:, 1])], ["_id", "_key", "z0", "z1"]).filter(sure)
-        trim_memory()
 
-    found = docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, _key long, z0 double, z1 double")
+    found = docs.mapInArrow(lean(run), f"_id {dict(docs.dtypes)['_id']}, _key long, z0 double, z1 double")
     found = stash(found.join(named, "_id", "left_anti").drop("_id"), "view-scores")
     sides = [(-F.col(f"z{side // 2}") if side % 2 else F.col(f"z{side // 2}")).alias("sure") for side in range(4)]  # text view: good, bad; metadata view: good, bad
 
@@ -262,4 +261,4 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(scores[:, k]) for k in range(3)]], ["doc_id", "text_score", "meta_score", "score"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(m).alias(f"meta{k}") for k, m in enumerate(meta)])
-    return picked.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double").withColumn("good", F.col("score") >= least)
+    return picked.mapInArrow(lean(run), "doc_id long, text_score double, meta_score double, score double").withColumn("good", F.col("score") >= least)

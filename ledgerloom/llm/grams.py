@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import lean
 from ledgerloom.llm.suffix_dedup import gram_hashes
 
 #: Bytes of a text that are hashed at once; grams that cross from one piece to the next are counted too.
@@ -65,7 +66,7 @@ def class_counts(docs: DataFrame, gram: int, bits: int) -> DataFrame:
                         np.add.at(sums[c], buckets, 1)
         yield from counted_of(sums)
 
-    counted = docs.select(F.col("class").cast("string"), F.col("text").cast("string")).mapInArrow(run, "class string, bucket long, n long")
+    counted = docs.select(F.col("class").cast("string"), F.col("text").cast("string")).mapInArrow(lean(run), "class string, bucket long, n long")
     return counted.groupBy("class", "bucket").agg(F.sum("n").alias("n"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import small_batches, stash
+from ledgerloom.llm.common import lean, small_batches, stash
 from ledgerloom.llm.grams import class_counts, gram_buckets
 
 GRAM, BITS = 3, 14
@@ -164,7 +164,7 @@ def identify(
     evidence = [c.alias(n) for c, n in zip(_evidence(declared, host, suffix), KINDS, strict=True)]
     digest = _digest(declared, host, suffix, text_col) if with_digest else F.lit(None).cast("long")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *evidence, digest.alias("digest"))
-    scored = stash(picked.mapInArrow(run, "doc_id long, scores array<double>, n_grams long, declared string, host string, suffix string, digest long"), "language-scores")
+    scored = stash(picked.mapInArrow(lean(run), "doc_id long, scores array<double>, n_grams long, declared string, host string, suffix string, digest long"), "language-scores")
     base = scored
     paged = None
     if pages is not None:

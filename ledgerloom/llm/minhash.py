@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_group, small_batches, stash
+from ledgerloom.llm.common import CACHES, by_group, lean, small_batches, stash
 from ledgerloom.llm.components import components
 
 #: Members of a bucket whose signatures meet in one task, and of a candidate component whose sets do.
 BUCKET_CELL, SET_CELL = 2048, 512
-WORDS_CACHED = 400_000
+WORDS_CACHED = 200_000
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,7 @@ class Banding:
 
 
 _words: dict[bytes, int] = {}
+CACHES["words"] = _words.clear
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -165,7 +166,7 @@ def signatures(docs: DataFrame, banding: Banding, size: int, id_col: str, text_c
             )
 
     schema = "doc_id long, n long, digest binary, minima binary, bands array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(lean(run, "words"), schema)
 
 
 def candidate_links(classes: DataFrame, banding: Banding) -> DataFrame:
@@ -193,7 +194,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int, size: int,
             sets = [shingles(t or "", size).tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], ["doc_id", "component", "members", "sets"])
 
-    sets = texts.select("doc_id", "component", "members", "text").mapInArrow(as_sets, "doc_id long, component long, members long, sets binary")
+    sets = texts.select("doc_id", "component", "members", "text").mapInArrow(lean(as_sets, "words"), "doc_id long, component long, members long, sets binary")
 
     def compare(_: int, rows: pa.Table) -> pa.RecordBatch | None:
         own = [np.frombuffer(s, np.uint64) for s in rows["sets"].to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import shared_folder, small_batches, stash
+from ledgerloom.llm.common import CACHES, lean, scratch_path, small_batches, stash
 
 WINDOW = 4096
 #: Queues that one level of the schedule deals to; of more sources the smaller ones have a level of their own below it.
@@ -116,6 +116,9 @@ def tokenizer_at(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+CACHES["tokens"] = tokenizer_at.cache_clear
+
+
 @dataclass(frozen=True)
 class Phase:
     start: int  # tokens packed before it
@@ -281,7 +284,7 @@ def pack_documents(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    path = f"{shared_folder(spark)}/tables/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer_at(tokenizer)
@@ -302,7 +305,7 @@ def pack_documents(
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     schema = "doc_id long, source string, queue string, tag long, start long, n long, ids binary"
-    picked.select("doc_id", "text", "source").mapInArrow(tokenise, schema).write.option("compression", "zstd").parquet(path)
+    picked.select("doc_id", "text", "source").mapInArrow(lean(tokenise, "tokens"), schema).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(schema).parquet(path)
 
     sums = stash(tokens.groupBy("queue", "tag").agg(F.sum("n").alias("n")), "queue-sums")
@@ -338,7 +341,7 @@ def pack_documents(
     if sums.count() <= BROADCAST_SUMS:
         firsts = F.broadcast(firsts)
     placed = tokens.join(firsts, ["queue", "tag"]).select("doc_id", "source", "ids", "n", "k", (F.col("first") + F.col("start")).alias("first"))
-    return placed.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in zip(OUT, ["long", "string", *["long"] * 6, "binary"], strict=True)))
+    return placed.mapInArrow(lean(place, "tokens"), ", ".join(f"{c} {t}" for c, t in zip(OUT, ["long", "string", *["long"] * 6, "binary"], strict=True)))
 
 
 OUT = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import CACHES, lean, small_batches
 
 BLANK = "▁"
 
@@ -182,6 +182,9 @@ def codec_at(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+CACHES["pieces"] = codec_at.cache_clear
+
+
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
     """``doc_id, ids array<int>`` per document; null text is empty, other columns are ignored, repeated rows are kept."""
     small_batches(docs.sparkSession)
@@ -192,7 +195,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             ids = [own.encode(t or "") + [own.end] * end for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(lean(run, "pieces"), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -205,7 +208,7 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids
             texts = [own.decode(ids or []) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col)).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col)).mapInArrow(lean(run, "pieces"), "doc_id long, text string")
 
 
 def codec_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,4 +225,4 @@ def codec_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(lean(run, "pieces"), schema)

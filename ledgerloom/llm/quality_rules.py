@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import lean, small_batches
 from ledgerloom.llm.grams import as_tables, class_counts, gram_sums
 from ledgerloom.llm.minhash import word_hashes, window_hashes
 
@@ -89,7 +89,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], OUT)
 
     schema = ", ".join(f"{c} {t}" for c, t in zip(OUT, [*["long"] * 6, "boolean", "boolean", "double"], strict=True))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(lean(run, "words"), schema)
 
 
 OUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]

@@ -33,7 +33,38 @@ def test_exact_dedup(spark, capacity):
 def test_directory_doubles_only_overfull_buckets(spark):
     keys = [k << 40 for k in range(64)] + [(1 << 62) + 5]
     got = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "key long"), capacity=64).collect()
-    assert {r.bucket % 32 for r in got} == {2}  # two doublings part the one key from the others
+    assert {(r.bits, r.depth) for r in got} == {(16, 2)}  # two doublings part the one key from the others
+
+
+@pytest.mark.parametrize("shift", [0, 40])
+def test_directory_is_as_deep_as_it_must_be(spark, shift):
+    """Held against plain splitting; keys that share their leading bits need slots of more bits."""
+    rng = random.Random(2)
+    keys = [rng.getrandbits(64 - shift) - (0 if shift else 1 << 63) for _ in range(400)] + [7] * 90
+
+    def split(own, depth):
+        if len(own) <= 20 or len(set(own)) == 1:
+            return {k: depth for k in own}
+        bit = 63 - depth
+        return {k: d for side in (0, 1) for k, d in split([k for k in own if (k >> bit & 1) == side], depth + 1).items()}
+
+    rows = spark.createDataFrame([(k,) for k in keys], "key long")
+    got = exact_dedup.with_bucket(rows, exact_dedup.directory(rows, 20)).collect()
+    expected = split(keys, 0)
+    prefix = lambda k: (k % (1 << 64)) >> (64 - expected[k]) if expected[k] else 0
+    assert {(r.key, r.bucket) for r in got} == {(k, f"{expected[k]}/{prefix(k):X}") for k in keys}
+
+
+def test_colliding_keys_are_chained_and_told_apart_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 4)
+    own = texts()
+    norm = [(t or "").translate(LOWER) for t in own]
+    rows = exact_dedup.exact_dedup(documents(spark, own), capacity=3, key=lambda c: F.pmod(F.xxhash64(c), F.lit(5))).collect()
+    assert len(rows) == len(own)
+    for r in rows:
+        same = [k for k, t in enumerate(norm) if t == norm[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.kept) == (max(same), len(same), r.doc_id == max(same))
+    assert len({r.text_sha256 for r in rows}) == len(set(norm)) and max(r.chain for r in rows) > 10 and len({r.bucket for r in rows}) > 1
 
 
 def test_exact_dedup_edges(spark):
@@ -41,6 +72,12 @@ def test_exact_dedup_edges(spark):
     rows = documents(spark, ["a", "A", "a", None], ids=[1, 1, None, None]).withColumns({"key": F.lit(1), "keep_id": F.lit(2), "norm": F.lit("z")})
     got = exact_dedup.exact_dedup(rows).collect()
     assert sorted((r.doc_id is None, r.keep_id, r.kept) for r in got if r.keep_id) == [(False, 1, True), (False, 1, True), (True, 1, False)]
+    assert exact_dedup.drop_copies(spark.createDataFrame([], DOCS)).count() == 0
+    long = ["a b" * 400_000, "A b" * 400_000, "c"]
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(documents(spark, long)).collect()) == [1, 2]
+    clash = documents(spark, ["a", "A", None], ids=[3, 3, None]).withColumns({c: F.lit("x") for c in ("key", "sha", "bucket", "norm", "_sha", "_idx")})
+    assert exact_dedup.drop_copies(clash).columns == clash.columns
+    assert sorted(r.doc_id or 0 for r in exact_dedup.drop_copies(clash).collect()) == [0, 3]
     kept = exact_dedup.drop_copies(documents(spark, texts()))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert kept.count() == len({(t or "").translate(LOWER) for t in texts()})
