@@ -8,6 +8,7 @@ in a distributed pass and takes the surest of all documents, as the final scorin
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -209,8 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...], label_col: st
     named = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IS NOT NULL")
     named = named.groupBy("_id").agg(F.min("_label").alias("_label"))
     sample = named.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
-    chosen = docs.withColumn("_id", F.col(id_col)).join(F.broadcast(sample), "_id")  # at most LABELLED ids
-    known = sorted(_features(chosen, meta, text_col, ["_id", "_label"]).collect(), key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["_id"]))
+    docs = docs.select(*{c: F.col(c) for c in (id_col, text_col, *meta)}.values())  # other columns' names cannot clash
+    chosen = docs.withColumn("_id", F.col(id_col)).join(F.broadcast(sample), "_id").distinct()  # at most LABELLED ids; equal rows are one
+    known = sorted(_features(chosen, meta, text_col, ["_id", "_label"]).collect(), key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], r["own"]))
     y = np.array([min(1, r["_label"]) for r in known], np.float64)
     text, other = (_matrix([r[c] for r in known], w) for c, w in zip(("own", "other"), WIDTHS, strict=True))
     if not len(y):

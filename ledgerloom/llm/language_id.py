@@ -1,11 +1,12 @@
 """Language ID (1): Bayesian evidence fusion of text, declared markup language, address suffix and host prior.
 
-log P(l | all) = log P(l) + w * log P(text | l) + sum over pages (log P(l | host) / P(l) + log P(declared | l) + log P(suffix | l)) + const
+log P(l | all) = log P(l) + w * log P(text | l) + sum over pages (log P(l | host) / P(l) + log P(declared | l)) + const
 
 Text likelihoods are multinomials over hashed byte n-grams, tempered to a fixed number of effective n-grams since
-neighbouring ones are not independent. P(declared | l) and P(suffix | l) are smoothed tables; the host prior is smoothed
-towards its parent domain, that towards the suffix, that towards the corpus. All of these come from one grouped
-aggregation each over every document's text posterior.
+neighbouring ones are not independent. P(declared | l) is a smoothed table; the host prior is smoothed towards its parent
+domain, that towards the address suffix, that towards the corpus, so each part of an address counts once; of an address
+with nothing but a suffix, the suffix's own prior counts. All of these come from one grouped aggregation each over every
+document's text posterior; labels train the text model and are no evidence.
 """
 
 from __future__ import annotations
@@ -162,13 +163,16 @@ def identify(
 
     given = dict(zip(KINDS, (declared, host, suffix), strict=True))
     evidence = [c.alias(n) for c, n in zip(_evidence(declared, host, suffix), KINDS, strict=True)]
+    if host is not None and suffix is not None:  # a host's prior holds its suffix's
+        evidence[2] = F.when(_evidence(host)[0].isNull(), _evidence(suffix)[0]).alias("suffix")
     digest = _digest(declared, host, suffix, text_col) if with_digest else F.lit(None).cast("long")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *evidence, digest.alias("digest"))
     scored = stash(picked.mapInArrow(lean(run), "doc_id long, scores array<double>, n_grams long, declared string, host string, suffix string, digest long"), "language-scores")
     base = scored
     paged = None
     if pages is not None:
-        found = named_pages(pages).select("doc_id", F.explode(F.create_map(*[x for c in KINDS for x in (F.lit(c), F.lower(c))])).alias("kind", "value"))
+        named = named_pages(pages).withColumn("suffix", F.when(F.col("host").isNull(), F.col("suffix")))
+        found = named.select("doc_id", F.explode(F.create_map(*[x for c in KINDS for x in (F.lit(c), F.lower(c))])).alias("kind", "value"))
         paged = stash(found.filter("value IS NOT NULL").groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n")), "page-evidence")
         told = paged.groupBy("doc_id").agg(*[F.max(F.col("kind") == c).alias(f"page_{c}") for c in KINDS])
         base = scored.join(told, "doc_id", "left").withColumns({c: F.when(~F.coalesce(f"page_{c}", F.lit(False)), F.col(c)) for c in KINDS})
@@ -189,18 +193,21 @@ def identify(
         total = _total(own)
         return F.zip_with(own, above, lambda n, a: (n + PARENT_WEIGHT * a) / (total + PARENT_WEIGHT))
 
+    bare = F.regexp_replace("value", r":\d*$", "")
     hosts = counts.filter("kind = 'host'").select(
-        F.col("value").alias("host"), F.regexp_extract("value", r"([^.]+\.[^.]+)$", 1).alias("parent"), F.regexp_extract("value", r"([^.]+)$", 1).alias("top"), F.lit(1).alias("n"), "sums"
+        F.col("value").alias("host"), F.regexp_extract(bare, r"([^.]+\.[^.]+)$", 1).alias("parent"), F.regexp_extract(bare, r"\.([^.]+)$", 1).alias("top"), F.lit(1).alias("n"), "sums"
     )
-    tops = _summed(hosts, ["top"], "sums", "s").select("top", smoothed(F.col("s"), prior).alias("s"))
+    alone = counts.filter("kind = 'suffix'").select(F.col("value").alias("top"), F.lit(1).alias("n"), "sums")
+    tops = _summed(hosts.select("top", "n", "sums").unionByName(alone), ["top"], "sums", "s").select("top", smoothed(F.col("s"), prior).alias("s"))
     parents = _summed(hosts, ["top", "parent"], "sums", "p").join(tops, "top").select("top", "parent", smoothed(F.col("p"), F.col("s")).alias("p"))
     priors = hosts.join(parents, ["top", "parent"]).select(F.lit("host").alias("kind"), F.col("host").alias("value"), F.zip_with(smoothed(F.col("sums"), F.col("p")), log_prior, lambda h, c: F.log(h) - c).alias("term"))
 
     # log P(value | language) with the count of one more value, smoothed
-    others = counts.filter("kind <> 'host'")
-    totals = _summed(others.withColumn("n", F.lit(1)), ["kind"], "sums", "a").join(others.groupBy("kind").agg(F.count("*").alias("v")), "kind")  # two rows
+    others = counts.filter("kind = 'declared'")
+    totals = _summed(others.withColumn("n", F.lit(1)), ["kind"], "sums", "a").join(others.groupBy("kind").agg(F.count("*").alias("v")), "kind")  # one row
     likelihoods = others.join(F.broadcast(totals), "kind").select("kind", "value", F.zip_with("sums", "a", lambda n, a: F.log((n + TABLE_WEIGHT) / (a + TABLE_WEIGHT * (F.col("v") + 1)))).alias("term"))
-    terms = stash(priors.unionByName(likelihoods), "language-terms")
+    suffixes = tops.filter("top <> ''").select(F.lit("suffix").alias("kind"), F.col("top").alias("value"), F.zip_with("s", log_prior, lambda h, c: F.log(h) - c).alias("term"))
+    terms = stash(priors.unionByName(likelihoods).unionByName(suffixes), "language-terms")
     if terms.count() * len(languages) <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
 

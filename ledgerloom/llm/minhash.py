@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ from ledgerloom.llm.components import components
 #: Members of a bucket whose signatures meet in one task, and of a candidate component whose sets do.
 BUCKET_CELL, SET_CELL = 2048, 512
 WORDS_CACHED = 200_000
+#: Chance to miss a pair at the threshold; minima that a document may cost for it.
+MISS, MINIMA = 1e-5, 256
 
 
 @dataclass(frozen=True)
@@ -38,8 +41,14 @@ class Banding:
 
     @staticmethod
     def for_percent(percent: int) -> Banding:
-        """At the threshold itself a pair is missed with a chance below 1e-5."""
-        return Banding(percent, 32, 7) if percent >= 85 else Banding(percent, 40, 6)
+        """At the threshold itself a pair is missed with a chance below MISS: the longest bands for which no more than MINIMA
+        minima do that, or bands of one."""
+        s = percent / 100
+        for per_band in range(12, 0, -1):
+            bands = math.ceil(math.log(MISS) / math.log1p(-min(s, 0.999999) ** per_band))
+            if bands * per_band <= MINIMA or per_band == 1:
+                return Banding(percent, bands, per_band)
+        raise AssertionError
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -50,7 +59,7 @@ class Banding:
     def agreeing(self) -> int:
         """Minima that must agree for a candidate: five standard deviations below the threshold."""
         n, s = self.bands * self.per_band, self.percent / 100
-        return int(n * s - 5 * (n * s * (1 - s)) ** 0.5)
+        return max(1, int(n * s - 5 * (n * s * (1 - s)) ** 0.5))
 
 
 _words: dict[bytes, int] = {}

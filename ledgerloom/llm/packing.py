@@ -1,10 +1,12 @@
 """Packing (4): mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of token streams. Each window (one sequence of 4096 tokens) is filled with the target
-proportions: a queue's deficit grows by its share and whole tokens are served from it, what is left is carried on. The
-carried deficits after any number of tokens have a closed form (:meth:`Schedule.served`), so a task that starts in the
-middle of the corpus knows them without hearing from other tasks, and each document finds its windows on its own: no
-shuffle of texts, no group in one task. A queue that runs dry ends a phase; the others share its part from then on.
+Every source is a queue of token streams. Tokens are offered to the queues in turn (:func:`deal`): a queue's deficit grows
+by its weight with each offer and pays for a token when it reaches the weight of the queues from it on, else the offer
+goes to the next queue. Deficits are carried from window to window (one sequence of 4096 tokens), so every window has the
+target proportions to within a token per queue. The counters after any number of tokens have a closed form
+(:func:`carried`), so a task that starts in the middle of the corpus knows them without hearing from other tasks, and each
+document finds its windows on its own: no shuffle of texts, no group in one task. A queue that runs dry ends a phase; the
+others share its part from then on, with new counters.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ import json
 import os
 import re
 import sys
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +36,8 @@ MAX_QUEUES = 512
 #: Sums per task and queue are broadcast up to this number of rows, and joined by shuffle beyond it.
 BROADCAST_SUMS = 100_000
 REST = "\x00rest"
+#: Targets by which all sources that have tokens left share alike.
+EQUAL = "equal"
 
 
 #: The tokenizer's own word pattern, and what it amounts to below U+0100; both must agree for words to be cut here.
@@ -155,7 +159,7 @@ class Schedule:
                 last = min((n * all_w // w, k) for k, (n, w) in enumerate(zip(left, weights, strict=True)) if w)[1]
                 weights, length = [int(k == last) for k in range(len(left))], left[last]
             phases.append(Phase(start, tuple(weights), tuple(served)))
-            for k, n in enumerate(nested_floor(length, weights)):
+            for k, n in enumerate(carried(length, weights)[0]):
                 served[k] += n
                 left[k] -= n
             start += length
@@ -206,7 +210,7 @@ class Schedule:
         """Tokens taken from each queue of this level when it has dealt ``tokens``."""
         if (found := self._seen.get(tokens)) is None:
             p = next((p for p in reversed(self.phases) if p.start <= tokens), self.phases[0])
-            found = tuple(b + n for b, n in zip(p.before, nested_floor(tokens - p.start, p.weights), strict=True))
+            found = tuple(b + n for b, n in zip(p.before, carried(tokens - p.start, p.weights)[0], strict=True))
             if len(self._seen) * len(p.weights) > self.keep:
                 self._seen.clear()
             self._seen[tokens] = found
@@ -258,26 +262,41 @@ def scaled_targets(targets: list[float], totals: list[int]) -> list[int]:
     return [max(1, round(t * 1_000_000 / whole)) if n else 0 for t, n in zip(targets, totals, strict=True)]
 
 
-def nested_floor(tokens: int, weights: Iterable[int]) -> list[int]:
-    """Whole tokens due to each queue after ``tokens`` in all: sums to ``tokens``, never falls as it grows, and each
-    queue's deficit (its share less what it got) stays within one token per queue before it."""
-    weights, out = list(weights), []
+def deal(weights: list[int], deficits: list[int]) -> int:
+    """The queue that the next token is served from; ``deficits`` are carried on in place."""
+    rest = sum(weights)
+    for k, w in enumerate(weights):
+        deficits[k] += w
+        if w and deficits[k] >= rest:
+            deficits[k] -= rest
+            return k
+        rest -= w
+    raise ValueError("no queue has a weight")
+
+
+def carried(tokens: int, weights: Iterable[int]) -> tuple[list[int], list[int]]:
+    """Tokens served from each queue, and the deficits, after ``tokens`` calls of :func:`deal`: of n offers to a queue
+    n * weight // rest are taken, and the remainder is what it carries. The served ones sum to ``tokens`` and never fall as
+    it grows."""
+    weights, served, deficits = list(weights), [], []
     rest = sum(weights)
     for w in weights:
-        due = tokens * w // rest if rest else 0
-        out.append(due)
+        due, carry = divmod(tokens * w, rest) if rest else (0, 0)
+        served.append(due)
+        deficits.append(carry)
         tokens -= due
         rest -= w
-    return out
+    return served, deficits
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int | None = 2, targets: Mapping[str, float] | None = None,
+    docs: DataFrame, tokenizer: str, end_id: int | None = 2, targets: Mapping[str, float] | str | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW,
 ) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed integers).
 
-    ``tokenizer``: path of a tokenizers file that every machine has. Null text is empty (its end id alone; no piece
+    ``tokenizer``: path of a tokenizers file that every machine has. ``targets``: wanted shares by source ('' is the null
+    source; 0 where none is given: those come last), EQUAL for equal shares, None for those that the sources have. Null text is empty (its end id alone; no piece
     without an end id); a null source is a queue of its own; repeated rows are packed once each; ids may be null and
     other columns are ignored; no rows give no rows. Every token lies in exactly one piece, sequences are full but for
     the last window, which is cut at powers of two.
@@ -289,7 +308,7 @@ def pack_documents(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer_at(tokenizer)
         size = np.dtype(own.width).itemsize
-        tag, sums = uuid.uuid4().int >> 65, {}  # names this task's rows in the table that is written once
+        tag, sums = TaskContext.get().partitionId(), {}  # names this task's rows in the table that is written once
         for batch in batches:
             ids, texts, sources = (batch.column(k) for k in range(3))
             packed = own.encode_batch([t or "" for t in texts.to_pylist()], end_id)
@@ -311,7 +330,7 @@ def pack_documents(
     sums = stash(tokens.groupBy("queue", "tag").agg(F.sum("n").alias("n")), "queue-sums")
     # One name and number per source reach the driver; those with a target come first, then the largest.
     found = [(r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()]
-    target = {q: (targets or {}).get("" if q == REST else q, 0.0) for q, _ in found}
+    target = {q: 1.0 if targets == EQUAL else (targets or {}).get("" if q == REST else q, 0.0) for q, _ in found}
     found.sort(key=lambda e: (not target[e[0]], -e[1], e[0]))
     plan, paths = Schedule.tiered([n for _, n in found], None if targets is None else [target[q] for q, _ in found], window)
     numbers = spark.createDataFrame([(q, k) for k, (q, _) in enumerate(found)], "queue string, k int")

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import cotraining, exact_dedup, language_id, minhash, packing, piece_codec, quality_rules, sharding, suffix_dedup, url_filters
 from ledgerloom.llm.common import table
 
 
 def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return language_id.identify(docs, declared=F.col("lang"), host=F.col("source"), pages=table(spark, sf_dir, "pages"))
+    return language_id.identify(table(spark, sf_dir, "documents"), pages=table(spark, sf_dir, "pages"))
 
 
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +22,7 @@ def op3_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), targets=packing.EQUAL).drop("ids")
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

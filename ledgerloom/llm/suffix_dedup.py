@@ -241,7 +241,7 @@ def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end), and if asked
-    kept (the bytes left) and row (a struct of the document's other columns).
+    kept (the text left, without what is left of a split character) and row (a struct of the document's other columns).
 
     Removed is each byte covered by a string of ``length`` bytes that also starts in a document with a smaller id; texts
     are judged as they came. Null text is empty; a null id counts as larger than any other; rows that repeat an id are
@@ -386,15 +386,15 @@ def remove_repeats(
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["spans"].append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
                 if with_row:
-                    out["kept"].append(kept)
-        kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), *[pa.binary()] * with_row]
+                    out["kept"].append(kept.decode("utf-8", "ignore"))
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), *[pa.string()] * with_row]
         found = pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
         if with_row and rows.num_rows:
             row = rows["row"].combine_chunks().take(pa.array(own.order))
             found = found.append_column("row", pa.StructArray.from_arrays(row.flatten(), names=[f.name for f in row.type]))
         return found
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + f", kept binary, row {dealt.schema['row'].dataType.simpleString() if with_row else ''}" * with_row
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + f", kept string, row {dealt.schema['row'].dataType.simpleString() if with_row else ''}" * with_row
     return grouped.cogroup(back.groupBy("chunk")).applyInArrow(trimmed(cut), schema)
 
 
@@ -444,16 +444,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """``docs`` with the repeated bytes cut out of the text (what is left of a split character is dropped too) and
     ``n_chars``, if there is one, counted anew. Every row stays, with its other columns."""
     found = remove_repeats(docs, length, id_col=id_col, text_col=text_col, with_row=True)
-    small_batches(docs.sparkSession)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([t.decode("utf-8", "ignore") for t in b.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts, b.column(1)], ["text", "row"])
-
-    row = found.schema["row"].dataType
-    texts = found.select("kept", "row").mapInArrow(read, f"text string, row {row.simpleString()}")
-    own = {c: F.col("row").getField(c) for c in docs.columns if c != text_col} | {text_col: F.col("text")}
+    own = {c: F.col("row").getField(c) for c in docs.columns if c != text_col} | {text_col: F.col("kept")}
     if "n_chars" in own:
-        own["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return texts.select(*[own[c].alias(c) for c in docs.columns])
+        own["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[own[c].alias(c) for c in docs.columns])

@@ -88,6 +88,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("percent", [1, 20, 40, 50, 60, 70, 80, 85, 95, 99, 100])
+def test_bands_miss_hardly_any_pair(percent):
+    own = minhash.Banding.for_percent(percent)
+    assert (1 - (percent / 100) ** own.per_band) ** own.bands <= 1.01e-5
+    assert own.bands * own.per_band <= 256 or own.per_band == 1
+
+
+@pytest.mark.parametrize("percent", [30, 60])
+def test_low_thresholds_equal_brute_force(spark, percent):
+    texts = corpus()
+    rows = {r.doc_id: r.component_id for r in minhash.near_dedup(documents(spark, texts), percent).collect()}
+    assert rows == {k: c for k, (_, c) in enumerate(brute(texts, percent))}
+
+
 def test_minima_estimate_similarity():
     banding = minhash.Banding.for_percent(85)
     a, b = banding.coefficients()

@@ -52,6 +52,58 @@ def test_language_edges(spark):
     assert [(r.doc_id, r.lang) for r in kept.collect()] == [(0, "en")]
 
 
+def test_fusion_equals_plain_python(spark):
+    """Posteriors worked out document by document: each page's declared language and host, each part of a host once."""
+    texts = [spoken(sorted(TONGUES)[k % 3], k, 6 + k % 5) for k in range(90)] + ["the ción", "und", "zz", ""]
+    langs = [sorted(TONGUES)[k % 3] if k < 60 else None for k in range(94)]
+    docs = documents(spark, texts, langs=langs)
+    hosts = ["a.one.net", "b.one.net", "c.two.net:80", "d.three.org", "local"]
+    rows = [(k, f"http://{hosts[(k * 7 + j) % 5]}/{k}", f"<html lang='{sorted(TONGUES)[(k + j) % 3]}'>" if (k + j) % 4 else "<p>") for k in range(94) for j in range(k % 3)]
+    pages = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.doc_id: r for r in language_id.identify(docs, pages=pages).collect()}
+
+    names, model = language_id.fit_text(docs, "lang", "doc_id", "text")
+    scores = []
+    for t in texts:
+        s, n = model.sums(f" {t} ".encode() if t else b"")
+        scores.append(language_id._log_shares(s * (min(n, language_id.EFFECTIVE) / n)) if n else None)
+    shares = [None if s is None else np.exp(s) for s in scores]
+    seen = sum(s for s in shares if s is not None)
+    corpus = (seen + 1) / (seen.sum() + len(names))
+    told = {k: [] for k in range(94)}
+    host_counts, declared_counts = {}, {}
+    for k, url, html in rows:
+        host, tag = url.split("/")[2], html[12:14] if "lang" in html else None
+        told[k].append((host, tag))
+        if shares[k] is not None:
+            host_counts[host] = host_counts.get(host, 0) + shares[k]
+            if tag:
+                declared_counts[tag] = declared_counts.get(tag, 0) + shares[k]
+    top = lambda h: h.split(":")[0].rpartition(".")[2] if "." in h else ""
+    parent = lambda h: ".".join(h.split(":")[0].split(".")[-2:]) if "." in h else ""
+
+    def smoothed(counts, above):
+        return (counts + language_id.PARENT_WEIGHT * above) / (counts.sum() + language_id.PARENT_WEIGHT)
+
+    def prior(host):
+        own = lambda same: sum(c for h, c in host_counts.items() if same(h))
+        by_top = smoothed(own(lambda h: top(h) == top(host)), corpus)
+        return smoothed(host_counts[host], smoothed(own(lambda h: (top(h), parent(h)) == (top(host), parent(host))), by_top))
+
+    every = sum(declared_counts.values())
+    for k, t in enumerate(texts):
+        if scores[k] is None:
+            assert (got[k].language, got[k].accepted) == ("und", False)
+            continue
+        q = scores[k] + np.log(corpus)
+        for host, tag in told[k]:
+            q = q + np.log(prior(host) / corpus)
+            if tag:
+                q = q + np.log((declared_counts[tag] + 1) / (every + len(declared_counts) + 1))
+        p = np.exp(language_id._log_shares(q))
+        assert got[k].language == names[int(p.argmax())] and got[k].confidence == pytest.approx(p.max(), abs=1e-9), (k, t)
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame(
         [(2, "https://b.c.org/en/7?x=1", "<!DOCTYPE html><HTML class=a lang='DE'><p>"), (1, "http://h.net:80/7/", "<p>no markup"), (3, None, "x"), (4, "http://a.b/none", None), (5, "http://a.b/8#t", None)],
@@ -177,6 +229,12 @@ def test_co_training_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in cotraining.score_quality(documents(spark, ["a", None, "a"], ids=[1, None, 1]), none).collect()} == {0.5}
     assert cotraining.score_quality(spark.createDataFrame([], DOCS), none).count() == 0
+    clash = documents(spark, ["good " * 20, "bad %% " * 200_000, "good x", "good " * 20], ids=[1, 2, 3, 1]).withColumns({c: F.lit("x") for c in ("_label", "_key", "_id", "own", "quality")})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = cotraining.score_quality(clash, labels).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 2, 3] and len({r.score for r in rows if r.doc_id == 1}) == 1
+    text_ids = clash.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert cotraining.score_quality(text_ids, labels.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == 4
 
 
 def test_co_training_chooses_from_all_unlabelled_documents(spark, monkeypatch):

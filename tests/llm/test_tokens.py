@@ -100,6 +100,45 @@ def test_packing(spark, texts, targets):
         assert at == 4096 or (at < 4096 and at & (at - 1) == 0), (s, at)
 
 
+@pytest.mark.parametrize("weights", [[5], [3, 1], [1, 1, 1], [0, 7, 2, 0, 5], [600_000, 300_000, 99_999, 1], [1, 1_000_000]])
+def test_carried_deficits_equal_the_plain_round_robin(weights):
+    deficits, served = [0] * len(weights), [0] * len(weights)
+    for n in range(1, 3000):
+        served[packing.deal(weights, deficits)] += 1
+        assert packing.carried(n, weights) == (served, deficits)
+
+
+def test_schedule_equals_the_plain_round_robin():
+    """Every token dealt one by one, queues that run dry included."""
+    rng = random.Random(6)
+    for _ in range(40):
+        totals = [rng.randrange(0, 60) for _ in range(rng.randrange(1, 6))]
+        targets = [rng.choice([1.0, 0.5, 3.0]) for _ in totals]
+        plan = packing.Schedule.planned(totals, targets, window=16)
+        left, dealt, at = list(totals), [], 0
+        for k, p in enumerate(plan.phases):
+            deficits = [0] * len(totals)
+            end = plan.phases[k + 1].start if k + 1 < len(plan.phases) else plan.total
+            for _ in range(end - at):
+                q = packing.deal(list(p.weights), deficits)
+                left[q] -= 1
+                dealt.append(q)
+            at = end
+        assert not any(left) and plan.total == len(dealt) == sum(totals)
+        for w in range(-(-plan.total // 16) + 1):
+            assert list(plan.served(w)) == [dealt[: 16 * w].count(q) for q in range(len(totals))]
+
+
+def test_equal_shares_and_same_numbers_again(spark):
+    docs = documents(spark, ["a b c d " * n for n in (300, 300, 40, 40)], ["big", "big", "small", None]).coalesce(1)
+    runs = [sorted(tuple(r) for r in packing.pack_documents(docs, WORDS, targets=packing.EQUAL, window=120).drop("ids").collect()) for _ in range(2)]
+    assert runs[0] == runs[1]
+    first = {}
+    for r in packing.pack_documents(docs, WORDS, targets=packing.EQUAL, window=120).filter("sequence_id = 0").collect():
+        first[r.source] = first.get(r.source, 0) + r.length
+    assert first == {"big": 40, "small": 40, None: 40}
+
+
 def test_mixture_follows_targets():
     plan = packing.Schedule.planned([40_000, 40_000, 4_000], [0.7, 0.2, 0.1], window=100)
     for w in range(0, plan.phases[1].start // 100 - 1):
