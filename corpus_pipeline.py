@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup, language_id, minhash, packing, suffix_dedup
-from ledgerloom.llm.common import stash, table
+from ledgerloom.llm.common import delete, scratch, scratch_path, table
 
 
 def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language no evidence makes likely go."""
-    return language_id.drop_rejected(docs, declared=F.col("lang"), host=F.col("source"), pages=table(spark, sf_dir, "pages"))
+    return language_id.drop_rejected(docs, pages=table(spark, sf_dir, "pages"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +30,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences, mixed in proportion to the sources."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    """Pieces of full sequences, in which all sources that are left have equal shares."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), targets=packing.EQUAL).drop("ids")
 
 
 STAGES = [
@@ -47,10 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents in ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stash(docs, name)
-    return docs
+    """The last stage's rows for the documents in ``sf_dir``. What a stage and the one before it wrote goes once the stage's
+    rows are written."""
+    docs, path = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        before, path = path, scratch_path(spark, name)
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs = spark.read.schema(rows.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
