@@ -50,6 +50,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids or keys is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Plain ASCII takes the fast built-in; other texts are translated letter by letter."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

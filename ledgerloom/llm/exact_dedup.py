@@ -19,19 +19,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import lower_ascii, stash
+from ledgerloom.llm.common import bounded, lower_ascii, stash
 
 #: Bits of the key by which slots are counted at once; overfull ones are counted by so many more.
 STEP = 16
 #: Rows of one key that a task compares.
 SALT_ROWS = 5_000
-#: Rows (of the directory, of repeated keys, of dropped rows) up to which a table is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def key_of(norm: Column | str) -> Column:

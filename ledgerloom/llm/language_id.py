@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import lean, small_batches, stash
+from ledgerloom.llm.common import bounded, lean, small_batches, stash
 from ledgerloom.llm.grams import class_counts, gram_buckets
 
 GRAM, BITS = 3, 14
@@ -251,10 +251,11 @@ def drop_rejected(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None,
     suffix: Column | None = None, **others,
 ) -> DataFrame:
-    """The rows of ``docs`` whose language is accepted; of rows that share an id (or have none) each is judged by itself."""
+    """The rows of ``docs`` whose language is accepted; of rows that share an id (or have none) each is judged by itself.
+    Texts are not shuffled while the rejected rows can be broadcast."""
     own = {"declared": declared, "host": host, "suffix": suffix, "text_col": text_col}
-    judged = identify(docs, id_col=id_col, with_digest=True, **own, **others).filter("accepted")
-    kept = judged.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("digest").alias("_digest")).distinct()
+    judged = identify(docs, id_col=id_col, with_digest=True, **own, **others).filter("NOT accepted")
+    gone = judged.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("digest").alias("_digest")).distinct()
     number = F.col(id_col).cast("long")
     rows = docs.withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull(), "_digest": _digest(**own)})
-    return rows.join(kept, ["_id", "_none", "_digest"], "left_semi").select(*docs.columns)
+    return rows.join(bounded(stash(gone, "rejected")), ["_id", "_none", "_digest"], "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import CACHES, by_group, lean, small_batches, stash
+from ledgerloom.llm.common import CACHES, bounded, by_group, lean, small_batches, stash
 from ledgerloom.llm.components import components
 
 #: Members of a bucket whose signatures meet in one task, and of a candidate component whose sets do.
@@ -251,6 +251,12 @@ def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str =
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), found).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def without(rows: DataFrame, id_col: str, judged: DataFrame) -> DataFrame:
+    """The rows that are kept; texts are not shuffled while the ids to drop can be broadcast."""
+    gone = stash(judged.filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
+    return rows.join(bounded(gone), id_col, "left_anti").select(*rows.columns)
+
+
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group.
 
@@ -261,10 +267,8 @@ def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     ids = docs.select(F.col(id_col).alias("_id"), digest.alias("_digest")).groupBy("_id").agg(F.min("_digest").alias("_first"), F.max("_digest").alias("_last"))
     odd = stash(ids.filter("_id IS NULL OR _first <> _last").select("_id", "_first"), "odd-ids")
     if odd.isEmpty():
-        kept = near_dedup(docs, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(kept, id_col, "left_semi")
+        return without(docs, id_col, near_dedup(docs, percent, id_col=id_col, text_col=text_col))
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("_id", F.lit(0)), F.col("_id").isNull(), digest), 2)
     rows = docs.withColumn("_id", F.col(id_col)).join(odd.filter("_id IS NOT NULL"), "_id", "left")
     rows = stash(rows.withColumn("_row", F.when(F.col("_id").isNull() | (F.coalesce("_first", digest) != digest), late).otherwise(F.col("_id").cast("long"))), "numbered")
-    kept = near_dedup(rows, percent, id_col="_row", text_col=text_col).filter("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return without(rows, "_row", near_dedup(rows, percent, id_col="_row", text_col=text_col)).select(*docs.columns)

@@ -252,7 +252,7 @@ def remove_repeats(
     chunks = buckets = max(parts(docs.sparkSession), -(-total // CHUNK_BYTES))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     dealt = docs.select(
-        *[F.struct(*others).alias("row")] * with_row, F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)).cast("long").alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text")
+        *[F.struct(*others).alias("row")] * with_row, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("long").alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text")
     ).repartition(chunks, "chunk")
 
     def anchors(rows: pa.Table) -> pa.Table:
