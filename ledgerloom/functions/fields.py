@@ -7,21 +7,97 @@ from pyspark.sql import functions as F
 
 COMMODITIES = ("elektrina_nn", "elektrina_vn", "plyn_mo", "plyn_vo", "teplo", "voda")
 
-#: name:type, a star marks required fields.
-_BASE = "invoice_number:string* period_from:date* period_to:date* issue_date:date due_date:date tax_point_date:date consumption_point_code:string*"
-_FULL = _BASE + " amount_ex_vat:float* amount_inc_vat:float* supplier_tax_id:string* customer_tax_id:string*"
-_OWN = {
-    "elektrina_nn": "consumption_high_tariff:float consumption_low_tariff:float total_consumption:float",
-    "elektrina_vn": "supply_consumption:float* supply_charge:float* supply_tax_charge:float quarter_hour_max:float annual_reserved_capacity:float annual_reserved_capacity_charge:float "
-    "monthly_reserved_capacity:float monthly_reserved_capacity_charge:float grid_usage_rate:float grid_usage_charge:float reserved_capacity_excess:float reserved_capacity_excess_rate:float "
-    "power_factor:float reactive_power_quantity:float reactive_power_rate:float reactive_power_charge:float service_price:float operating_price:float renewable_energy_fee:float",
-    "plyn_mo": "conversion_coefficient:float* combustion_heat:float* consumption_mwh:float* consumption_m3:float* gas_tax_total:float* unit_price_commodity:float commodity_price:float "
-    "unit_price_standing_charge:float standing_charge:float unit_price_reserved_capacity:float reserved_capacity_price:float unit_price_distribution:float distribution_price:float market_operator_fee:float",
-    "plyn_vo": "conversion_coefficient:float* combustion_heat:float* consumption_mwh:float* consumption_m3:float* daily_reserved_capacity:float* gas_tax_total:float* other_supply_services:float "
-    "unit_price_trade_reserved_capacity:float trade_reserved_capacity_price:float distribution_services_price:float unit_price_distr_services:float unit_price_distr_reserved_capacity:float "
-    "distribution_reserved_capacity_price:float market_operator_fee:float",
-    "teplo": "consumption_gj:float* hot_water_consumption:float* cold_water_consumption:float reserved_capacity:float* supplementary_water:float* total_heat_consumption:float",
-    "voda": "consumption_vodne_m3:float* consumption_stocne_m3:float* consumption_odpadni_m3:float consumption_srazkove_m3:float",
+#: (name, type, required) of the fields that all commodities have.
+BASE = (
+    ("invoice_number", "string", True),
+    ("period_from", "date", True),
+    ("period_to", "date", True),
+    ("issue_date", "date", False),
+    ("due_date", "date", False),
+    ("tax_point_date", "date", False),
+    ("consumption_point_code", "string", True),
+)
+#: More of them, but for electricity at high voltage.
+AMOUNTS_AND_IDS = (
+    ("amount_ex_vat", "float", True),
+    ("amount_inc_vat", "float", True),
+    ("supplier_tax_id", "string", True),
+    ("customer_tax_id", "string", True),
+)
+#: Those of one commodity.
+OWN = {
+    "elektrina_nn": (
+        ("consumption_high_tariff", "float", False),
+        ("consumption_low_tariff", "float", False),
+        ("total_consumption", "float", False),
+    ),
+    "elektrina_vn": (
+        ("supply_consumption", "float", True),
+        ("supply_charge", "float", True),
+        ("supply_tax_charge", "float", False),
+        ("quarter_hour_max", "float", False),
+        ("annual_reserved_capacity", "float", False),
+        ("annual_reserved_capacity_charge", "float", False),
+        ("monthly_reserved_capacity", "float", False),
+        ("monthly_reserved_capacity_charge", "float", False),
+        ("grid_usage_rate", "float", False),
+        ("grid_usage_charge", "float", False),
+        ("reserved_capacity_excess", "float", False),
+        ("reserved_capacity_excess_rate", "float", False),
+        ("power_factor", "float", False),
+        ("reactive_power_quantity", "float", False),
+        ("reactive_power_rate", "float", False),
+        ("reactive_power_charge", "float", False),
+        ("service_price", "float", False),
+        ("operating_price", "float", False),
+        ("renewable_energy_fee", "float", False),
+    ),
+    "plyn_mo": (
+        ("conversion_coefficient", "float", True),
+        ("combustion_heat", "float", True),
+        ("consumption_mwh", "float", True),
+        ("consumption_m3", "float", True),
+        ("gas_tax_total", "float", True),
+        ("unit_price_commodity", "float", False),
+        ("commodity_price", "float", False),
+        ("unit_price_standing_charge", "float", False),
+        ("standing_charge", "float", False),
+        ("unit_price_reserved_capacity", "float", False),
+        ("reserved_capacity_price", "float", False),
+        ("unit_price_distribution", "float", False),
+        ("distribution_price", "float", False),
+        ("market_operator_fee", "float", False),
+    ),
+    "plyn_vo": (
+        ("conversion_coefficient", "float", True),
+        ("combustion_heat", "float", True),
+        ("consumption_mwh", "float", True),
+        ("consumption_m3", "float", True),
+        ("daily_reserved_capacity", "float", True),
+        ("gas_tax_total", "float", True),
+        ("other_supply_services", "float", False),
+        ("unit_price_trade_reserved_capacity", "float", False),
+        ("trade_reserved_capacity_price", "float", False),
+        ("distribution_services_price", "float", False),
+        ("unit_price_distr_services", "float", False),
+        ("unit_price_distr_reserved_capacity", "float", False),
+        ("distribution_reserved_capacity_price", "float", False),
+        ("market_operator_fee", "float", False),
+    ),
+    "teplo": (
+        ("consumption_gj", "float", True),
+        ("hot_water_consumption", "float", True),
+        ("cold_water_consumption", "float", False),
+        ("reserved_capacity", "float", True),
+        ("supplementary_water", "float", True),
+        ("total_heat_consumption", "float", False),
+    ),
+    "voda": (
+        ("consumption_vodne_m3", "float", True),
+        ("consumption_stocne_m3", "float", True),
+        ("consumption_odpadni_m3", "float", False),
+        ("consumption_srazkove_m3", "float", False),
+    ),
 }
 MANDATORY_BASE = ("invoice_number", "period_from", "period_to", "total_amount_ex_vat", "total_amount_inc_vat")
 MANDATORY_OWN = {
@@ -39,8 +115,7 @@ ALIASES = {"total_amount_ex_vat": "amount_ex_vat", "total_amount_inc_vat": "amou
 def fields_of(commodity: str | None) -> list[tuple[str, str, bool]]:
     """(name, type, required) of a commodity's fields; of the common fields where it is unknown."""
     key = (commodity or "").lower()
-    listed = f"{_BASE if key == 'elektrina_vn' else _FULL} {_OWN.get(key, '')}".split()
-    return [(n, t.rstrip("*"), t.endswith("*")) for n, _, t in (x.partition(":") for x in listed)]
+    return [*BASE, *(() if key == "elektrina_vn" else AMOUNTS_AND_IDS), *OWN.get(key, ())]
 
 
 def field_registry(spark: SparkSession) -> DataFrame:

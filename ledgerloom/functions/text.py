@@ -194,11 +194,16 @@ def path_segment_after(c: Column | str, marker: str) -> Column:
 
 
 def shannon_entropy(c: Column | str) -> Column:
-    """bits per character; empty text has 0."""
-    chars = F.filter(F.split(_col(c), ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
-    return F.when(F.size(chars) > 0, -F.aggregate(shares, F.lit(0.0), lambda s, p: s + p * F.log2(p))).otherwise(0.0)
+    """bits per character; empty text has 0. The characters are sorted, then their runs are counted in one pass."""
+    chars = F.array_sort(F.filter(F.split(_col(c), ""), lambda x: x != ""))
+    bits = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["last"] == x
+        return F.struct(x.alias("last"), F.when(same, s["run"] + 1.0).otherwise(1.0).alias("run"), F.when(same, s["sum"]).otherwise(s["sum"] + bits(s["run"])).alias("sum"), (s["n"] + 1.0).alias("n"))
+
+    return F.aggregate(chars, start, step, lambda s: F.when(s["n"] > 0, F.log2(s["n"]) - (s["sum"] + bits(s["run"])) / s["n"]).otherwise(0.0))
 
 
 def valid_code_point(c: Column | str) -> Column:
@@ -224,8 +229,8 @@ def invisible_font(c: Column | str, generation: str = "v2") -> Column:
 
 def first_match(c: Column | str, patterns: list[str], group: int = 1) -> Column:
     """the trimmed group of the first pattern that matches, case-insensitive and multi-line; else null."""
-    found = [F.nullif(F.btrim(F.regexp_extract(_col(c), f"(?iumU){p}", group), F.lit(" \t\r\n\u00a0")), F.lit("")) for p in patterns]
-    return F.coalesce(*found)
+    found = [F.btrim(F.regexp_extract(_col(c), f"(?iumU){p}", group), F.lit(" \t\r\n\u00a0")) for p in patterns]
+    return F.coalesce(*[F.try_element_at(F.filter(F.array(m), lambda x: x != ""), F.lit(1)) for m in found])  # each pattern runs once
 
 
 def all_matches(c: Column | str, patterns: list[str], group: int = 1) -> Column:

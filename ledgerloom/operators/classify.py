@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.operators.streamed import ordered_pass
 
 #: Fixed values of the first classifier.
 MIN_CHARS, MIN_CODE_POINTS, MIN_FONTS, MIN_TEXT_PAGES, MAX_IMAGES, MIN_PAGE_CHARS, PAGES = 200, 15, 2, 0.8, 0.6, 50, 20
@@ -71,7 +72,7 @@ def classify_v2(invisible: Column, total_chars: Column, full_text: Column, inval
 
 
 def vote(strategy: str, kind1: Column, conf1: Column, kind2: Column, conf2: Column) -> dict[str, Column]:
-    """Conservative (adaptive is the same), weighted, or any other name: scanned with 0.5."""
+    """Conservative (adaptive is the same), weighted, or aggressive: scanned with 0.5, as published."""
     if strategy in ("conservative", "adaptive"):
         both = (kind1 == "scanned") & (kind2 == "scanned")
         native = (kind1 == "native_pdf") & (kind2 == "native_pdf") & (conf2 > 0.8)
@@ -79,9 +80,17 @@ def vote(strategy: str, kind1: Column, conf1: Column, kind2: Column, conf2: Colu
     if strategy == "weighted":
         p = F.when(kind2 == "scanned", 0.7 * conf2).otherwise(0.0) + F.when(kind1 == "scanned", 0.3 * conf1).otherwise(0.0)
         return {"kind": F.when(p > 0.6, "scanned").otherwise("native_pdf"), "confidence": F.when(p > 0.6, p).otherwise(1 - p)}
+    if strategy != "aggressive":
+        raise ValueError(f"unknown strategy {strategy!r}")
     return {"kind": F.lit("scanned"), "confidence": F.lit(0.5)}
 
 
+def vote_pages(judged: DataFrame, strategy: str = "conservative", key: str = "doc_id") -> DataFrame:
+    """D28 by page: each page has its document's vote (as published: pages have none of their own)."""
+    own = vote(strategy, F.col("kind_v1"), F.col("confidence_v1"), F.col("kind_v2"), F.col("confidence_v2"))
+    return judged.select(key, F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"), own["kind"].alias("kind"), own["confidence"].alias("confidence"))
+
+
 def page_kind(chars: Column, fonts: Column, image_ratio: Column, invisible_ratio: Column) -> dict[str, Column]:
     """D29 for one page."""
     score = (
@@ -114,24 +123,30 @@ def metadata_signals(filename: Column, size: Column, kind: Column) -> dict[str,
 
 def feedback_averages(feedback: DataFrame, group: str, order: str, alpha: float = 0.1, threshold: float = 0.75, fn_limit: float = 0.02, least: int = 100) -> DataFrame:
     """Per group, in order, the moving averages of missed scans and of false ones, and the threshold that each
-    excess of missed scans lowers by 0.05 down to 0.5, from the ``least``-th classification on. A true recurrence: one ordered fold per group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        fn = fp = 0.0
-        limit = threshold
-        for n, (predicted, truth) in enumerate(pdf.sort_values(order)[["predicted", "truth"]].itertuples(index=False), 1):
-            if truth is None or pd.isna(truth):
+    excess of missed scans lowers by 0.05 down to 0.5, from the ``least``-th classification on. A true recurrence: one
+    ordered pass that holds four numbers per group."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key, state = None, None
+        for own, predicted, truth in rows:
+            if state is None or own != key:
+                if state is not None:
+                    yield (key, *state)
+                key, state = own, [0, 0.0, 0.0, threshold]
+            state[0] += 1
+            if truth is None:
                 continue
             if truth == "scanned":
-                fn = alpha * (predicted == "native_pdf") + (1 - alpha) * fn
+                state[1] = alpha * (predicted == "native_pdf") + (1 - alpha) * state[1]
             elif truth == "native_pdf":
-                fp = alpha * (predicted == "scanned") + (1 - alpha) * fp
-            if n >= least and fn > fn_limit:
-                limit = max(0.5, limit - 0.05)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(pdf)], "fn_rate": [fn], "fp_rate": [fp], "threshold": [limit]})
+                state[2] = alpha * (predicted == "scanned") + (1 - alpha) * state[2]
+            if state[0] >= least and state[1] > fn_limit:
+                state[3] = max(0.5, state[3] - 0.05)
+        if state is not None:
+            yield (key, *state)
 
     kind = dict(feedback.dtypes)[group]
-    return feedback.groupBy(group).applyInPandas(fold, f"{group} {kind}, n long, fn_rate double, fp_rate double, threshold double")
+    return ordered_pass(feedback, [group], [order], ["predicted", "truth"], f"{group} {kind}, n long, fn_rate double, fp_rate double, threshold double", fold)
 
 
 def moving_average(values: Column, weight: float = 0.1) -> Column:

@@ -74,35 +74,52 @@ DETAILS = {
     "voda": ("consumption_m3", "water_rate", "sewage_rate"),
 }
 TEXTUAL = ("distribution_tariff",)
-#: A commodity's signs. Abbreviations in the second tuple count only with ``strict_words``; as published,
-#: they never match.
+#: The signs of each commodity.
 SIGNS = {
-    "elektrina_nn": (["elektřin|elektrin|elektrick\\w*\\s+energi|silov\\w*\\s+elektřin", "nízké\\s+napětí|{nn}low\\s+voltage", "distribuční\\s+tarif\\s*[:\\-]?\\s*D\\d{2}", "{kWh}", "vysoký\\s+tarif|nízký\\s+tarif"]),
-    "elektrina_vn": (["vysoké\\s+napětí|{vn}high\\s+voltage", "rezervovaná\\s+kapacita"]),
-    "plyn_MO": (["\\bplyn\\w*|zemn\\w*\\s+plyn|natural\\s+gas", "{MO}maloodběr", "spalné\\s+teplo|objemový\\s+koeficient"]),
-    "plyn_VO": (["{VO}velkoodběr"]),
-    "teplo": (["\\btepl[aou]\\b|tepeln\\w*\\s+energi|dálkov\\w*\\s+vytápění|district\\s+heat", "{GJ}gigajoul"]),
-    "voda": (["\\bvod[aouy]\\b|vodné|vodného|stočné|stočného|water", "vodovod|kanalizace", "pitná\\s+voda|odpadní\\s+voda|srážková"]),
+    "elektrina_nn": [r"elektřin|elektrin|elektrick\w*\s+energi|silov\w*\s+elektřin", r"nízké\s+napětí|low\s+voltage", r"distribuční\s+tarif\s*[:\-]?\s*D\d{2}", r"vysoký\s+tarif|nízký\s+tarif"],
+    "elektrina_vn": [r"vysoké\s+napětí|high\s+voltage", r"rezervovaná\s+kapacita"],
+    "plyn_MO": [r"\bplyn\w*|zemn\w*\s+plyn|natural\s+gas", r"maloodběr", r"spalné\s+teplo|objemový\s+koeficient"],
+    "plyn_VO": [r"velkoodběr"],
+    "teplo": [r"\btepl[aou]\b|tepeln\w*\s+energi|dálkov\w*\s+vytápění|district\s+heat", r"gigajoul"],
+    "voda": [r"\bvod[aouy]\b|vodné|vodného|stočné|stočného|water", r"vodovod|kanalizace", r"pitná\s+voda|odpadní\s+voda|srážková"],
+}
+#: Abbreviations that are alternatives of a sign, by its place (one more place: a sign of its own). As
+#: published they never match, so they count only with ``strict_words``.
+ABBREVIATIONS = {
+    "elektrina_nn": {1: "nn", 4: "kWh"},
+    "elektrina_vn": {0: "vn"},
+    "plyn_MO": {1: "MO"},
+    "plyn_VO": {0: "VO"},
+    "teplo": {1: "GJ"},
 }
 
 
-def _signs(patterns: list[str], strict_words: bool) -> list[str]:
-    import re
-
-    out = [re.sub(r"\{(\w+)\}", (lambda m: rf"\b{m.group(1)}\b|") if strict_words else "", p).rstrip("|") for p in patterns]
-    return [p for p in out if p]
+def signs_of(commodity: str, strict_words: bool = False) -> list[str]:
+    own = list(SIGNS[commodity])
+    for place, short in ABBREVIATIONS.get(commodity, {}).items() if strict_words else ():
+        if place < len(own):
+            own[place] += rf"|\b{short}\b"
+        else:
+            own.append(rf"\b{short}\b")
+    return own
 
 
 def commodity_scores(c: Column, strict_words: bool = False) -> dict[str, Column]:
     """How many of each commodity's signs occur in the text."""
-    return {k: sum((F.when(c.rlike(f"(?iuU){p}"), 1).otherwise(0) for p in _signs(v, strict_words)), F.lit(0)) for k, v in SIGNS.items()}
+    return {k: sum((F.when(c.rlike(f"(?iuU){p}"), 1).otherwise(0) for p in signs_of(k, strict_words)), F.lit(0)) for k in SIGNS}
+
+
+def once(c: Column) -> Column:
+    """The same value, as an expression that the optimizer never copies into the expressions that read it."""
+    return F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
 
 
 def detect_commodity(c: Column, strict_words: bool = False) -> Column:
-    """The commodity with most signs, the first declared of equals; null without any."""
+    """The commodity with most signs, the first declared of equals; null without any. Each sign is looked for once."""
     scores = commodity_scores(c, strict_words)
-    top = F.greatest(*scores.values())
-    return F.when(top > 0, F.coalesce(*[F.when(s == top, k) for k, s in scores.items()]))
+    names = F.array(*[F.lit(k) for k in scores])
+    best = F.transform(F.array(F.array(*scores.values())), lambda s: F.when(F.array_max(s) > 0, F.get(names, (F.array_position(s, F.array_max(s)) - 1).cast("int"))))
+    return F.get(best, F.lit(0))
 
 
 def field(c: Column, name: str, group: int = 1) -> Column:
@@ -118,10 +135,6 @@ def period(c: Column) -> tuple[Column, Column]:
     return tuple(F.coalesce(*[F.when(ok, pair[k]) for ok, pair in zip(both, found, strict=True)]) for k in (0, 1))
 
 
-def raw_schema(names: list[str]) -> str:
-    return ", ".join(f"{n} string" for n in names)
-
-
 def extract_invoices(texts: DataFrame, as_of: str, text_col: str = "text", hint: str | None = None, strict_words: bool = False) -> DataFrame:
     """``texts`` with commodity, fields, errors, warnings, details (map of the commodity's own fields, null
     if none was found) and confidence. ``as_of`` stands for today in the defaults. Rows without a commodity have an error
@@ -130,11 +143,16 @@ def extract_invoices(texts: DataFrame, as_of: str, text_col: str = "text", hint:
     found = detect_commodity(c, strict_words)
     names = ["variable_symbol", "ean_code", "eic_code", "consumption_point_code", "customer_tax_id", "supplier_tax_id", "customer_vat_id", "supplier_vat_id"]
     typed = ["total_amount_inc_vat", "total_amount_ex_vat", "vat_amount", "issue_date", "due_date", "vat_date"]
-    own = sorted({n for v in DETAILS.values() for n in v})
+    users: dict[str, list[str]] = {}
+    for k, v in DETAILS.items():
+        for n in v:
+            users.setdefault(n, []).append(k)
     periods = {f"_p{k}{g}": text.first_match(c, [p], g) for k, p in enumerate(PATTERNS["period"]) for g in (1, 2)}
-    # every pattern runs once: matches are structs of one column, read by the expressions after it
-    raw = F.struct(*[field(c, n).alias(n) for n in [*names, *typed, *own, "invoice_number"]], *[v.alias(k) for k, v in periods.items()])
-    out = texts.withColumns({"commodity": F.coalesce(F.col(hint), found) if hint else found, "_raw": F.from_json(F.to_json(raw), raw_schema([*names, *typed, *own, "invoice_number", *periods]))})
+    # The commodity comes first: patterns of details run only on its texts, and every pattern runs once.
+    out = texts.withColumn("commodity", once(F.coalesce(F.col(hint), found) if hint else found))
+    own = {n: F.when(F.col("commodity").isin(*ks), field(c, n)) for n, ks in users.items()}
+    raw = F.struct(*[field(c, n).alias(n) for n in [*names, *typed, "invoice_number"]], *[v.alias(k) for k, v in (own | periods).items()])
+    out = out.withColumn("_raw", once(raw))
     ends = [[text.parse_date(F.col(f"_raw._p{k}{g}")) for g in (1, 2)] for k in range(len(PATTERNS["period"]))]
     out = out.withColumn("_ends", F.coalesce(*[F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("a"), y.alias("b"))) for x, y in ends]))
     out = out.withColumns(

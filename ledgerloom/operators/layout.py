@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.operators.streamed import by_key, ordered_pass
+
 WORDS = "doc_id long, page int, text string, left int, top int, width int, height int"
 
 
@@ -25,31 +27,59 @@ def cluster_by_gap(df: DataFrame, keys: list[str], value: str, gap: float, name:
     return df.withColumn("_jump", jump).withColumn(name, F.sum("_jump").over(over.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_jump")
 
 
+def _lines(rows: Iterator[tuple], tolerance: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(line, words from left to right) of rows (document, page, text, left, top, width, height) in order of top, left, text."""
+    key, line, low, high, held = None, -1, 0, 0, []
+    for row in rows:
+        top, bottom = row[4], row[4] + max(row[6], 1)
+        if row[:2] != key or bottom < low - tolerance or top > high + tolerance:
+            if held:
+                yield line, sorted(held, key=lambda w: w[3])
+            line = 0 if row[:2] != key else line + 1
+            key, low, high, held = row[:2], top, bottom, []
+        else:
+            low, high = min(low, top), max(high, bottom)
+        held.append(row)
+    if held:
+        yield line, sorted(held, key=lambda w: w[3])
+
+
+BOXES = ["text", "left", "top", "width", "height"]
+
+
 def group_lines(words: DataFrame, tolerance: int = 4) -> DataFrame:
     """Words with ``line`` and ``position``. A word joins the line whose vertical extent (which grows with every
-    word) it overlaps within the tolerance; a recurrence, so one ordered pass per page."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "left", "text"], kind="stable").reset_index(drop=True)
-        lines, low, high, line = [], None, None, -1
-        for top, height in zip(pdf["top"].tolist(), pdf["height"].tolist(), strict=True):
-            bottom = top + max(height, 1)
-            if low is None or bottom < low - tolerance or top > high + tolerance:
-                line, low, high = line + 1, top, bottom
-            else:
-                low, high = min(low, top), max(high, bottom)
-            lines.append(line)
-        pdf["line"] = lines
-        pdf = pdf.sort_values(["line", "left"], kind="stable")
-        pdf["position"] = pdf.groupby("line").cumcount()
-        return pdf
-
-    return words.select("doc_id", "page", "text", "left", "top", "width", "height").groupBy("doc_id", "page").applyInPandas(page, WORDS + ", line int, position int")
+    word) it overlaps within the tolerance; a recurrence, so one ordered pass, which holds a line."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for line, own in _lines(rows, tolerance):
+            for position, word in enumerate(own):
+                yield (*word, line, position)
+
+    return ordered_pass(words, ["doc_id", "page"], ["top", "left", "text"], BOXES, WORDS + ", line int, position int", fold)
+
+
+def column_lines(words: DataFrame, tolerance: int = 4, gap: int = 50, inclusive: bool = False) -> DataFrame:
+    """D31 and W5/T10 in one pass: (doc_id, page, line, segments, text) of each line; a column begins after a gap of more
+    than ``gap`` (or at least, if inclusive) pixels."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for line, own in _lines(rows, tolerance):
+            segments, edge = [], None
+            for word in own:
+                space = 0 if edge is None else word[3] - edge
+                if edge is None or (space >= gap if inclusive else space > gap):
+                    segments.append([])
+                segments[-1].append(word[2])
+                edge = word[3] + word[5]
+            joined = [" ".join(x) for x in segments]
+            yield own[0][0], own[0][1], line, joined, " ".join(joined).strip(" ")
+
+    return ordered_pass(words, ["doc_id", "page"], ["top", "left", "text"], BOXES, "doc_id long, page int, line int, segments array<string>, text string", fold)
 
 
 def line_segments(lined: DataFrame, gap: int = 50, inclusive: bool = False) -> DataFrame:
-    """Per line its text and its column segments; a column begins after a gap of more than ``gap`` (or at least,
-    if inclusive) pixels."""
+    """W5/T10 over words that have lines already: per line its text and its column segments, as :func:`column_lines`."""
     over = Window.partitionBy("doc_id", "page", "line").orderBy("position")
     space = F.col("left") - F.lag(F.col("left") + F.col("width")).over(over)
     jump = F.when((space >= gap) if inclusive else (space > gap), 1).otherwise(0)
@@ -69,23 +99,23 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 
 def json_light(lines: DataFrame) -> DataFrame:
     """One compact JSON object per page: rows of columns as lists, 'key: value' under the cleaned key, other rows as
-    text; a key that comes again replaces the value in place."""
+    text; a key that comes again replaces the value in place. Rows are numbered as in :func:`numbered_lines`."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, object] = {}
-        for row, segments, text in pdf.sort_values("row")[["row", "segments", "text"]].itertuples(index=False):
-            key, colon, value = text.partition(":")
-            clean = re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", key.strip()).strip())[:30].lower()
-            if len(segments) >= 2:
-                out[f"r{row}"] = list(segments)
-            elif colon and clean and value.strip():
-                out[clean] = value.strip()
-            else:
-                out[f"r{row}"] = text
-        first = pdf.iloc[0]
-        return pd.DataFrame({"doc_id": [first["doc_id"]], "page": [first["page"]], "encoded": [json.dumps(out, ensure_ascii=False, separators=(",", ":"))]})
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for page, own in by_key(rows, 2):
+            out: dict[str, object] = {}
+            for row, (_, _, segments, text) in enumerate(own):
+                key, colon, value = text.partition(":")
+                clean = re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", key.strip()).strip())[:30].lower()
+                if len(segments) >= 2:
+                    out[f"r{row}"] = segments
+                elif colon and clean and value.strip():
+                    out[clean] = value.strip()
+                else:
+                    out[f"r{row}"] = text
+            yield (*page, json.dumps(out, ensure_ascii=False, separators=(",", ":")))
 
-    return numbered_lines(lines).groupBy("doc_id", "page").applyInPandas(page, "doc_id long, page int, encoded string")
+    return ordered_pass(lines.filter("text <> ''"), ["doc_id", "page"], ["line"], ["segments", "text"], "doc_id long, page int, encoded string", fold)
 
 
 def markdown(lines: DataFrame) -> DataFrame:
@@ -95,23 +125,24 @@ def markdown(lines: DataFrame) -> DataFrame:
     return own.select("doc_id", "page", F.array_join(F.transform("rows", lambda x: x["t"]), "\n").alias("encoded"))
 
 
-def grid_cells(words: DataFrame, row_gap: int = 12, column_gap: int = 40) -> DataFrame:
-    """Cells of the borderless grid that word centres form: rows and columns are clusters of centres."""
+def grid_cells(words: DataFrame, row_gap: int = 12, column_gap: int = 40, keys: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """Cells of the borderless grid that word centres form: rows and columns are clusters of centres, per page (or per
+    table box, if that is among the keys)."""
     own = words.withColumns({"cy": F.floor(F.col("top") + F.col("height") / 2), "cx": F.floor(F.col("left") + F.col("width") / 2)})
-    own = cluster_by_gap(own, ["doc_id", "page"], "cy", row_gap, "row", ("cx", "text"))
-    own = cluster_by_gap(own, ["doc_id", "page"], "cx", column_gap, "col", ("cy", "text"))
-    cells = own.groupBy("doc_id", "page", "row", "col").agg(F.array_sort(F.collect_list(F.struct("left", "top", "text"))).alias("w"))
+    own = cluster_by_gap(own, list(keys), "cy", row_gap, "row", ("cx", "text"))
+    own = cluster_by_gap(own, list(keys), "cx", column_gap, "col", ("cy", "text"))
+    cells = own.groupBy(*keys, "row", "col").agg(F.array_sort(F.collect_list(F.struct("left", "top", "text"))).alias("w"))
     return cells.withColumn("text", F.array_join(F.transform("w", lambda x: x["text"]), " ")).drop("w")
 
 
-def table_html(cells: DataFrame) -> DataFrame:
-    """A page's grid as HTML, the first row as headings."""
+def table_html(cells: DataFrame, keys: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """A grid as HTML, the first row as headings."""
     tag = F.when(F.col("row") == 0, "th").otherwise("td")
     cell = F.concat(F.lit("<"), tag, F.lit(">"), "text", F.lit("</"), tag, F.lit(">"))
-    rows = cells.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("c")))).alias("cells"))
+    rows = cells.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("c")))).alias("cells"))
     rows = rows.withColumn("html", F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda x: x["c"]), ""), F.lit("</tr>")))
-    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("row", "html"))).alias("rows"))
-    return pages.select("doc_id", "page", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda x: x["html"]), ""), F.lit("</table>")).alias("html"))
+    pages = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "html"))).alias("rows"))
+    return pages.select(*keys, F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda x: x["html"]), ""), F.lit("</table>")).alias("html"))
 
 
 def words_in_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -172,3 +203,45 @@ def median_angle(angles: DataFrame, least: float = 0.3, most: float = 10.0) -> D
     """D37, the data half: the skew to undo is the median line angle if it lies between the limits, else 0."""
     own = angles.groupBy("doc_id", "page").agg(F.percentile("angle", 0.5).alias("m"))
     return own.select("doc_id", "page", F.when(F.abs("m").between(least, most), F.col("m")).otherwise(0.0).alias("angle"))
+
+
+#: Blocks of a layout model: type, box, table markup or text lines.
+BLOCKS = "doc_id long, page int, position int, type string, bbox array<string>, html string, lines array<string>"
+
+
+def parsed_blocks(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, position, kind, content, x1, y1, x2, y2) from BLOCKS: a block whose box is not four whole numbers,
+    a table without markup and a block without text are left out; a null type is text."""
+    kind = F.lower(F.coalesce("type", F.lit("text")))
+    box = [F.try_element_at("bbox", F.lit(k)).try_cast("double").cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"), 1)]
+    lines = F.array_join(F.filter("lines", lambda t: F.trim(t) != ""), "\n")
+    own = blocks.select("doc_id", "page", "position", kind.alias("kind"), F.when(kind == "table", F.col("html")).otherwise(lines).alias("content"), *box)
+    return own.filter("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL AND trim(content) <> ''")
+
+
+def block_payload(blocks: DataFrame, share: float = 0.4) -> DataFrame:
+    """A page's parsed blocks in reading order as one text, columns by ``share`` of the widest right edge; tables
+    are wrapped in their tag where they have none."""
+    over = Window.partitionBy("doc_id", "page")
+    gap = F.max("x2").over(over) * share
+    column = F.when(gap > 0, F.floor(F.floor((F.col("x1") + F.col("x2")) / 2) / gap)).otherwise(0)
+    body = F.trim("content")
+    shown = F.when((F.col("kind") == "table") & ~F.lower(body).startswith("<table"), F.concat(F.lit("<table>"), body, F.lit("</table>"))).otherwise(body)
+    own = blocks.withColumn("_k", column).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("_k", "y1", "position", shown.alias("t")))).alias("parts"))
+    return own.select("doc_id", "page", F.array_join(F.transform("parts", lambda x: x["t"]), "\n\n").alias("payload"))
+
+
+def confident_tokens(tokens: DataFrame, least: float = 0.3) -> DataFrame:
+    """Tokens with a confidence of at least ``least``; with 0 or less nothing is filtered."""
+    return tokens.filter(F.col("confidence") >= least) if least > 0 else tokens
+
+
+def separated(tokens: DataFrame, boxes: DataFrame, least: float = 0.3, height: int = 3000) -> dict[str, DataFrame]:
+    """D34/D35, the whole page path: tokens filtered by confidence, those inside table boxes as grids of cells with their
+    HTML, the others as regions. ``tokens``: doc_id, page, text, left, top, width, height, confidence; ``boxes``: doc_id,
+    page, box, x1, y1, x2, y2."""
+    own = confident_tokens(tokens, least)
+    inside = words_in_boxes(own, boxes)
+    keys = ["doc_id", "page", "box"]
+    cells = grid_cells(inside, keys=keys)
+    return {"cells": cells, "tables": table_html(cells, keys=keys), "regions": regions(words_outside(own, boxes), height)}

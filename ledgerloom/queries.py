@@ -168,14 +168,11 @@ def normalised_strings(spark, sf_dir):
 s AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id) AS t FROM n)
 SELECT doc_id, round(-sum(CAST(n AS DOUBLE) / t * log2(CAST(n AS DOUBLE) / t)), 6) AS entropy FROM s GROUP BY 1""")
 def entropy(spark, sf_dir):
-    chars = views.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("c")).filter("c <> ''").groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    # whole texts: counted by grouped aggregation rather than by the expression, which is quadratic in the alphabet
-    total = chars.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    return total.select("doc_id", F.round(F.log2(F.col("t").cast("double")) - F.col("s") / F.col("t"), 6).alias("entropy"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.round(text.shannon_entropy("text"), 6).alias("entropy"))
 
 
 @query("""SELECT s_suppkey AS id, CAST(s_suppkey * 100 AS DOUBLE) * 0.4 / 1000000 + CAST(s_suppkey AS DOUBLE) * 1.6 / 1000000 AS usd FROM supplier WHERE s_suppkey % 2 = 0
-UNION ALL SELECT s_suppkey, (CAST(s_suppkey * 100 AS DOUBLE) * 2.0 + CAST(s_suppkey AS DOUBLE) * 8.0) / 1000000 FROM supplier WHERE s_suppkey % 2 = 1""".replace("* 0.4 / 1000000 + CAST(s_suppkey AS DOUBLE) * 1.6 / 1000000", "* 0.4 / 1000000 + CAST(s_suppkey AS DOUBLE) * 1.6 / 1000000"))
+UNION ALL SELECT s_suppkey, (CAST(s_suppkey * 100 AS DOUBLE) * 2.0 + CAST(s_suppkey AS DOUBLE) * 8.0) / 1000000 FROM supplier WHERE s_suppkey % 2 = 1""")
 def token_costs(spark, sf_dir):
     k = F.col("s_suppkey")
     model = F.when(k % 2 == 0, "GPT-4.1-mini-2025").otherwise("gpt-4.1-2025")
@@ -655,7 +652,8 @@ def invoice_texts(spark, sf_dir):
         F.concat(F.lit("Datum vystavení: "), day("issue_date")), F.concat(F.lit("IČO odběratele: "), "customer_tax_id"), F.concat(F.lit("Spotřeba VT: "), (k % 900).cast("string"), F.lit(",5 kWh")),
         F.concat(F.lit("Celkem k úhradě: "), F.abs("amount_inc_vat").cast("bigint").cast("string"), F.lit(",25 Kč")),
     ]
-    return views.invoices(spark, sf_dir).select("id", F.concat_ws("\n", *lines).alias("text"))
+    # dealt evenly: what these texts cost to read is not told by their size
+    return views.invoices(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id").select("id", F.concat_ws("\n", *lines).alias("text"))
 
 
 @query(f"""WITH {I} SELECT id, CASE WHEN id % 10 <> 0 THEN invoice_number ELSE 'UNKNOWN' END AS invoice_number, CASE WHEN id % 7 <> 0 THEN '859' || lpad(CAST(id AS VARCHAR), 15, '0') END AS ean_code,
@@ -712,14 +710,13 @@ def line_groups(spark, sf_dir):
 g AS (SELECT *, sum(j) OVER (PARTITION BY doc_id, page, line ORDER BY l) AS seg FROM s) SELECT doc_id, page, CAST(line AS INTEGER) AS line, CAST(max(seg) + 1 AS INTEGER) AS columns, string_agg(text, ' ' ORDER BY l) AS text FROM g GROUP BY 1, 2, 3""")
 def line_columns(spark, sf_dir):
     ship_package(spark)
-    lines = layout.line_segments(layout.group_lines(views.words(spark, sf_dir)))
-    return lines.select("doc_id", "page", "line", F.size("segments").alias("columns"), "text")
+    return layout.column_lines(views.words(spark, sf_dir)).select("doc_id", "page", "line", F.size("segments").alias("columns"), "text")
 
 
 @query()
 def json_light(spark, sf_dir):
     ship_package(spark)
-    return layout.json_light(layout.line_segments(layout.group_lines(views.words(spark, sf_dir))))
+    return layout.json_light(layout.column_lines(views.words(spark, sf_dir)))
 
 
 @query(f"""WITH {W}, c AS (SELECT *, (t + t + h) // 2 AS cy, CAST(floor(l + CAST(w AS DOUBLE) / 2) AS BIGINT) AS cx FROM words),
