@@ -11,25 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import similarity, text
-from ledgerloom.session import ship_package
+from ledgerloom.session import materialise, ship_package
 
-#: Index vectors that are held in a worker at once; queries stream past each block of them.
-BLOCK = 50_000
+#: Vectors of either side that are held in a worker at once.
+BLOCK = 20_000
 
 
 def top_neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, neighbour_id, score, rank) by cosine, ties by the smaller id; the query's own id is left out.
 
-    The index is dealt into blocks of bounded size, each query meets each block once (a matrix product in the worker that
-    keeps the best k), and the blocks' candidates are merged by window: nothing grows with queries x index but the
-    arithmetic, and no side is broadcast.
+    Both sides are dealt into blocks of bounded size; each pair of blocks is a matrix product in one worker, which keeps the
+    best k per query, and the pairs' candidates are merged by window. No side is broadcast, and a worker holds two blocks,
+    whatever the number of queries or vectors.
     """
     ship_package(queries.sparkSession)
-    n = index.count()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("long")
-    left = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
-    right = index.select(own.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    across, down = (max(1, -(-df.count() // block)) for df in (queries, index))
+
+    def dealt(df: DataFrame, name: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
+        rows = df.select(F.col(id_col).cast("long").alias(name), F.col(vector).cast("array<double>").alias("vector"), F.pmod(F.xxhash64(id_col), F.lit(own)).cast("long").alias(mine))
+        return rows.withColumn(theirs, spread)
+
+    left, right = dealt(queries, "query_id", across, down, "q", "x"), dealt(index, "id", down, across, "x", "q")
 
     def unit(rows: pa.Table) -> np.ndarray:
         out = np.array(rows["vector"].to_pylist(), dtype=np.float64)
@@ -53,7 +56,7 @@ def top_neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "
                         out["query_id"].append(int(asked[a + r])), out["neighbour_id"].append(int(ids[c])), out["score"].append(float(scores[r, c]))
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "neighbour_id": pa.array(out["neighbour_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(best, "query_id long, neighbour_id long, score double")
+    found = left.groupBy("q", "x").cogroup(right.groupBy("q", "x")).applyInArrow(best, "query_id long, neighbour_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -64,21 +67,54 @@ def few_shot_block(neighbours: DataFrame, examples: DataFrame, key: str = "query
     return own.select(key, F.concat(F.lit("Similar examples:\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("prompt"))
 
 
+def prefix_grams(names: DataFrame, column: str, frequency: DataFrame, least: float) -> DataFrame:
+    """``names`` with each of the gram keys of which two names share one if their ratio reaches ``least``.
+
+    With s = least / 100 a pair of lengths m and n has a common subsequence of s * (m + n) / 2, and so at least
+    (1.5 * s - 1) * (m + n) - 1 common bigrams; then they share one even among their rarest bigrams, all but that many
+    (less one). Short names, of which that says nothing, share their key with all short ones.
+    """
+    s = least / 100
+    length, bigrams = F.length(column), F.greatest(F.length(column) - 1, F.lit(0))
+    # of equal bigrams the first, the second, ... count as different ones
+    listed = F.transform(F.sequence(F.lit(1), F.greatest(bigrams, F.lit(1))), lambda k: F.substring(F.col(column), k, F.lit(2)))
+    counted = F.transform(listed, lambda g, k: F.concat(g, F.size(F.filter(F.slice(listed, F.lit(1), k + 1), lambda x: x == g)).cast("string")))
+    common = F.floor((1.5 * s - 1) * (1 + s / (2 - s)) * length - 1)
+    rows = names.withColumns({"_grams": counted, "_common": common}).withColumn("_short", F.col("_common") < 1)
+    each = rows.filter("NOT _short").select(column, "_common", F.explode("_grams").alias("gram")).join(frequency, "gram", "left")
+    ranked = each.groupBy(column, "_common").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))
+    keys = ranked.select(column, F.explode(F.slice("g", F.lit(1), (F.size("g") - F.col("_common") + 1).cast("int"))).alias("x")).select(column, F.col("x.gram").alias("key"))
+    longest = (2 / s - 1) * 2 / ((1.5 * s - 1) * (1 + s / (2 - s)))  # partners of the names for which the bound is below 1
+    return keys.unionByName(names.filter(length <= longest).select(column, F.lit("").alias("key")))
+
+
+def bigrams_of(names: DataFrame, column: str) -> DataFrame:
+    listed = F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - 1, F.lit(1))), lambda k: F.substring(F.col(column), k, F.lit(2)))
+    counted = F.transform(listed, lambda g, k: F.concat(g, F.size(F.filter(F.slice(listed, F.lit(1), k + 1), lambda x: x == g)).cast("string")))
+    return names.select(F.explode(counted).alias("gram"))
+
+
 def canonical_names(names: DataFrame, reference: DataFrame, name: str, ref: str, key: str, least: float = 80.0) -> DataFrame:
-    """(key, name, best, score, canonical): the most similar reference by sorted words; it replaces the name from a
-    score of ``least`` on. Empty names stay. Names are compared once per distinct spelling, against references that share
-    their length within what the threshold allows; the first reference in order wins ties.
+    """(key, name, best, score, canonical): the most similar reference by the ratio of sorted words, accents folded; it
+    replaces the name from a score of ``least`` (above 67) on. Empty names stay; the first reference in order wins ties.
+
+    Names are compared once per distinct spelling. Those equal to a reference need no comparison; the others meet the
+    references that share one of their rarest bigrams, which every pair of that score does (:func:`prefix_grams`).
     """
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")))
-    spelt = names.select(F.col(name).alias("_n")).filter(text.truthy("_n")).distinct().withColumn("_a", norm("_n"))
-    refs = reference.select(F.col(ref).alias("_r")).distinct().withColumn("_b", norm("_r"))
-    # similarity of at least s needs lengths within a factor s: a band of equal keys instead of a cross join
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / F.log(F.lit(100 / least)))
-    keyed = spelt.withColumn("_k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col("_a")) + d)))
-    pairs = keyed.join(refs.withColumn("_k", band(F.col("_b"))), "_k").withColumn("_s", similarity.token_sort_ratio(F.col("_a"), F.col("_b"))).filter(F.col("_s") >= least)
-    best = pairs.groupBy("_n").agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col("_r").alias("r"))).alias("m"))
+    ship_package(names.sparkSession)
+    spelt = names.select(F.col(name).alias("_n")).filter(text.truthy("_n")).distinct().withColumn("_a", similarity.sorted_words(text.fold_accents(F.col("_n"))))
+    refs = reference.select(F.col(ref).alias("_r")).filter(text.truthy("_r")).distinct().withColumn("_b", similarity.sorted_words(text.fold_accents(F.col("_r"))))
+    spelt, refs = materialise(spelt, "spellings"), materialise(refs.groupBy("_b").agg(F.min("_r").alias("_r")), "references")
+    equal = spelt.join(refs, spelt["_a"] == refs["_b"]).select("_n", "_r", F.lit(100.0).alias("_s"))
+    rest = materialise(spelt.join(refs, spelt["_a"] == refs["_b"], "left_anti"), "other-spellings")
+    own = rest.select("_a").distinct()
+    frequency = materialise(bigrams_of(refs, "_b").unionByName(bigrams_of(own, "_a")).groupBy("gram").agg(F.count("*").alias("n")), "bigrams")
+    pairs = prefix_grams(own, "_a", frequency, least).join(prefix_grams(refs.select("_b"), "_b", frequency, least), "key").select("_a", "_b").distinct()
+    alike = pairs.withColumn("_s", similarity.indel_ratio("_a", "_b")).filter(F.col("_s") >= least)
+    close = alike.join(refs, "_b").groupBy("_a").agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col("_r").alias("r"))).alias("m"))
+    best = equal.unionByName(rest.join(close, "_a").select("_n", F.col("m.r").alias("_r"), (-F.col("m.s")).alias("_s")))
     out = names.join(best, names[name] == best["_n"], "left")
-    return out.select(F.col(key), F.col(name), F.col("m.r").alias("best"), (-F.col("m.s")).alias("score"), F.coalesce("m.r", F.col(name)).alias("canonical"))
+    return out.select(F.col(key), F.col(name), F.col("_r").alias("best"), F.col("_s").alias("score"), F.coalesce("_r", F.col(name)).alias("canonical"))
 
 
 def without_leakage(index: DataFrame, evaluated: DataFrame, key: str) -> DataFrame:
