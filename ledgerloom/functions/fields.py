@@ -145,3 +145,23 @@ def extraction_struct(commodity: str) -> str:
     """The same schema as a Spark type."""
     names = [n for n, _, _ in fields_of(commodity)]
     return "struct<" + ",".join(f"{n}:string" for n in names) + ",_confidence:map<string,double>>"
+
+
+def truth_record(truth: DataFrame, commodity: str, *keys: str) -> DataFrame:
+    """``keys`` and one text per registered field of a row of ground truth: the field's own column, else the one that
+    goes by its alias; numbers with two decimals, dates as ISO days, other texts trimmed; '' where there is nothing."""
+    from ledgerloom.functions import text
+
+    other = {field: column for column, field in ALIASES.items()}
+    out = []
+    for name, kind, _ in fields_of(commodity):
+        sources = [F.col(c).cast("string") for c in (name, other.get(name, name)) if c in truth.columns]
+        raw = F.coalesce(*sources[:1], F.lit("")) if sources else F.lit("")
+        if kind == "float":
+            value = text.format_amount(text.safe_float(raw))
+        elif kind == "date":
+            value = F.date_format(F.coalesce(text.safe_iso_date(raw), text.parse_date(raw)), "yyyy-MM-dd")
+        else:
+            value = F.trim(raw)
+        out.append(F.coalesce(value, F.lit("")).alias(name))
+    return truth.select(*keys, *out)

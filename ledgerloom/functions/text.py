@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -35,6 +35,13 @@ def clean_number(c: Column | str) -> Column:
     return F.when(plain.rlike(r"^-?\d+\.?\d*$"), plain.try_cast("double"))
 
 
+def required_number(df: DataFrame, c: str, name: str = "number") -> tuple[DataFrame, DataFrame]:
+    """the rows whose text is a number, with it as ``name``, and the rejected others with the reason."""
+    own = df.withColumn(name, clean_number(c))
+    rejected = own.filter(F.col(name).isNull()).withColumn("reason", F.concat(F.lit("not a number: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+    return own.filter(F.col(name).isNotNull()), rejected.drop(name)
+
+
 def parse_number_flexible(c: Column | str) -> Column:
     """The evaluation twin of F1: 'none' and 'null' are missing."""
     raw = F.trim(_col(c).cast("string"))
@@ -276,3 +283,16 @@ def example_line(commodity: Column, fields: dict[str, Column]) -> Column:
     """'[commodity] name=value, ...' without empty values."""
     shown = [F.when(~F.lower(F.trim(v)).isin("", "nan", "none"), F.concat(F.lit(f"{k}="), v)) for k, v in fields.items()]
     return F.concat(F.lit("["), commodity, F.lit("] "), F.concat_ws(", ", *shown))
+
+
+def digests(c: Column | str) -> dict[str, Column]:
+    """MD5, SHA-1 and SHA-256 of a text or bytes, as lower-case hex."""
+    return {"md5": F.md5(_col(c)), "sha1": F.sha1(_col(c)), "sha256": F.sha2(_col(c), 256)}
+
+
+#: F35, fixed values: how many characters of a text each use takes.
+CAPS = {"embedding": 1500, "entropy": 10_000, "prompt": 24_000, "reason": 80}
+
+
+def capped(c: Column | str, use: str) -> Column:
+    return F.substring(_col(c), 1, CAPS[use])

@@ -133,3 +133,22 @@ def dry_run_cost(documents: DataFrame, per_document: float, escalation: float, p
 def prompt_text(commodity: Column, content: Column, examples: Column | None = None, limit: int = 24_000) -> Column:
     """D42, the data half: the user prompt with its examples and the capped text."""
     return F.concat_ws("\n\n", examples if examples is not None else F.lit(None).cast("string"), F.concat(F.lit("Commodity: "), F.coalesce(commodity, F.lit("unknown"))), F.substring(content, 1, limit))
+
+
+class ModelExtractor:
+    """A strategy around a caller's model: ``ask`` maps Arrow batches of (key, prompt) to batches of (key, answer,
+    logprob, prompt_tokens, completion_tokens, latency_ms, api_error). Prompts and answers are built and read here."""
+
+    def __init__(self, name: str, model: str, ask: Callable, commodity_fields: tuple[str, ...], key: str = "doc_id", text_col: str = "text", examples: str | None = None) -> None:
+        self.name, self.model, self.ask, self.fields, self.key, self.text_col, self.examples = name, model, ask, commodity_fields, key, text_col, examples
+
+    def __call__(self, docs: DataFrame) -> DataFrame:
+        shown = F.col(self.examples) if self.examples else None
+        asked = docs.select(F.col(self.key), prompt_text(F.col("commodity"), F.col(self.text_col), shown).alias("prompt"))
+        kind = dict(docs.dtypes)[self.key]
+        said = asked.mapInArrow(self.ask, f"{self.key} {kind}, answer string, logprob double, prompt_tokens long, completion_tokens long, latency_ms double, api_error string")
+        read = text.json_object("answer", "map<string,string>")
+        own = said.withColumn("_read", read).withColumn("confidences", F.from_json(F.try_element_at("_read", F.lit("_confidence")), "map<string,double>"))
+        values = F.create_map(*[x for n in self.fields for x in (F.lit(n), F.try_element_at("_read", F.lit(n)))])
+        out = own.withColumns({"fields": values, "cost_usd": model_cost(F.lit(self.model), F.col("prompt_tokens"), F.col("completion_tokens"))})
+        return docs.join(out.drop("answer", "_read", "prompt_tokens", "completion_tokens"), self.key)

@@ -178,3 +178,22 @@ def best_strategy(results: DataFrame, key: str, strategy: str = "strategy", scor
     """The first of the best-scoring rows per key; scores must be above 0."""
     first = Window.partitionBy(key).orderBy(F.desc(score), position)
     return results.filter(F.col(score) > 0).withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(key, F.col(strategy).alias("best_strategy"), F.col(score).alias("best_score"))
+
+
+def field_accuracy(results: DataFrame, statuses: str = "per_field_json") -> DataFrame:
+    """(field_name, tp, present, accuracy) from JSON maps of field name to an object with its status; fields without
+    truth count for nothing."""
+    parsed = F.from_json(statuses, "map<string,struct<status:string>>")
+    own = results.select(F.explode(parsed).alias("field_name", "o")).select("field_name", F.col("o.status").alias("status")).filter(F.col("status").isin("tp", "fp", "fn"))
+    out = own.groupBy("field_name").agg(_n(F.col("status") == "tp").alias("tp"), F.count("*").alias("present"))
+    return out.withColumn("accuracy", F.round(F.col("tp") / F.col("present"), 4))
+
+
+def correction_effect(rows: DataFrame, truth: str, raw: str, corrected: str, tolerance: float = 0.005) -> DataFrame:
+    """The share of known amounts that match before and after the correction (null where none is known), and how many
+    it changed."""
+    known = F.col(truth).isNotNull()
+    hit = lambda c: _n(known & F.coalesce(F.abs(F.col(c) - F.col(truth)) < tolerance, F.lit(False)))
+    own = rows.agg(_n(known).alias("present"), hit(raw).alias("before"), hit(corrected).alias("after"), _n(~F.col(raw).eqNullSafe(F.col(corrected))).alias("corrected"))
+    share = lambda c: F.round(F.col(c) / F.nullif("present", F.lit(0)), 4)
+    return own.select("present", "corrected", share("before").alias("accuracy_before"), share("after").alias("accuracy_after"))

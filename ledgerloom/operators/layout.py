@@ -213,7 +213,7 @@ def parsed_blocks(blocks: DataFrame) -> DataFrame:
     """(doc_id, page, position, kind, content, x1, y1, x2, y2) from BLOCKS: a block whose box is not four whole numbers,
     a table without markup and a block without text are left out; a null type is text."""
     kind = F.lower(F.coalesce("type", F.lit("text")))
-    box = [F.try_element_at("bbox", F.lit(k)).try_cast("double").cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"), 1)]
+    box = [F.get("bbox", F.lit(k)).try_cast("double").cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]
     lines = F.array_join(F.filter("lines", lambda t: F.trim(t) != ""), "\n")
     own = blocks.select("doc_id", "page", "position", kind.alias("kind"), F.when(kind == "table", F.col("html")).otherwise(lines).alias("content"), *box)
     return own.filter("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL AND trim(content) <> ''")

@@ -81,7 +81,7 @@ def terciles(df: DataFrame, value: str, name: str = "quality") -> DataFrame:
 
 def pivoted(df: DataFrame, row: str, column: str, values: list, measure: str, how: str = "sum") -> DataFrame:
     """Per row value the sum, mean, std (sample) or size by column value; 0 where there is none."""
-    what = {"sum": F.sum(measure), "mean": F.avg(measure), "std": F.stddev_samp(measure), "size": F.count("*")}[how]
+    what = {"sum": F.sum(measure), "mean": F.avg(measure), "std": F.stddev_samp(measure), "size": F.count(F.lit(1))}[how]
     return df.groupBy(row).pivot(column, values).agg(what).fillna(0)
 
 
@@ -110,7 +110,7 @@ def top_and_other(counts: DataFrame, label: str, value: str, n: int = 5, other:
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 2) -> DataFrame:
     """N rows per group in an order that depends on the seed and the key alone."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order, key))).filter(F.col("_r") <= n).drop("_r")
 
 

@@ -100,3 +100,30 @@ def non_null_count(names: list[str], numbers: tuple[str, ...] = ()):
 def null_share(names: list[str], numbers: tuple[str, ...] = ()):
     """P12"""
     return 1 - non_null_count(names, numbers) / len(names)
+
+
+#: What counts as extracted, of an invoice and of each of its details by commodity.
+COUNTED = (
+    "invoice_number", "variable_symbol", "ean_code", "eic_code", "period_from", "period_to", "issue_date", "due_date", "customer_tax_id", "supplier_tax_id", "total_amount_inc_vat", "total_amount_ex_vat",
+)
+COUNTED_DETAILS = {
+    "elektrina_nn": ("consumption_low_tariff", "consumption_high_tariff", "distribution_tariff"),
+    "elektrina_vn": ("supply_consumption", "annual_reserved_capacity", "peak_consumption"),
+    "plyn_mo": ("consumption_m3", "consumption_mwh"),
+    "plyn_vo": ("consumption_m3", "consumption_mwh"),
+    "voda": ("consumption_m3",),
+    "teplo": ("consumption_gj", "heat_consumption"),
+}
+
+
+def extracted_fields(invoices: DataFrame, details: str = "details", commodity: str = "commodity"):
+    """How many of the counted fields an invoice and its details (an array of maps of texts) hold. An unknown number,
+    zeros and empty texts are nothing."""
+    def filled(c):
+        return F.when(F.coalesce((c != "") & ~F.coalesce(c.try_cast("double") == 0, F.lit(False)), F.lit(False)), 1).otherwise(0)
+
+    own = sum((filled(F.nullif(F.col(c).cast("string"), F.lit("UNKNOWN")) if c == "invoice_number" else F.col(c).cast("string")) for c in COUNTED if c in invoices.columns), F.lit(0))
+    names = F.create_map(*[x for k, v in COUNTED_DETAILS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    wanted = F.coalesce(F.try_element_at(names, F.lower(commodity)), F.array().cast("array<string>"))
+    inner = F.aggregate(F.col(details), F.lit(0), lambda n, d: n + F.aggregate(wanted, F.lit(0), lambda m, w: m + filled(F.try_element_at(d, w))))
+    return own + F.coalesce(inner, F.lit(0))

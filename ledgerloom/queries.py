@@ -480,9 +480,9 @@ def keep_last(spark, sf_dir):
     return store.keep_last(views.table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("SELECT event_type, least(count(*), 300) AS n FROM events GROUP BY 1")
+@query("WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5('2|' || CAST(event_id AS VARCHAR)), event_id) AS r FROM events) SELECT event_type, event_id FROM r WHERE r <= 300")
 def sample_n(spark, sf_dir):
-    return stats.sample_per_group(views.table(spark, sf_dir, "events"), "event_type", "event_id", 300).groupBy("event_type").agg(F.count("*").alias("n"))
+    return stats.sample_per_group(views.table(spark, sf_dir, "events"), "event_type", "event_id", 300).select("event_type", "event_id")
 
 
 @query("""SELECT l_returnflag, round(CAST(100 AS DOUBLE) * sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) / count(*), 6) AS rate FROM lineitem GROUP BY 1""")
@@ -549,12 +549,12 @@ def cascade_delete(spark, sf_dir):
     return store.cascade_delete(views.table(spark, sf_dir, "lineitem"), gone, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber AS line, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey DESC, l_partkey DESC) AS r FROM lineitem WHERE l_linenumber IN (1, 2))
-SELECT o_orderkey AS stem, coalesce(a.l_partkey, b.l_partkey) AS part, coalesce(a.l_partkey, b.l_partkey) IS NOT NULL AS has_truth FROM orders LEFT JOIN t a ON a.l_orderkey = o_orderkey AND a.line = 2 AND a.r = 1 LEFT JOIN t b ON b.l_orderkey = o_orderkey AND b.line = 1 AND b.r = 1""")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber % 2 AS odd, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber DESC, l_suppkey DESC, l_partkey DESC) AS r FROM lineitem)
+SELECT o_orderkey AS stem, coalesce(a.l_partkey, b.l_partkey) AS part, coalesce(a.l_partkey, b.l_partkey) IS NOT NULL AS has_truth FROM orders LEFT JOIN t a ON a.l_orderkey = o_orderkey AND a.odd = 0 AND a.r = 1 LEFT JOIN t b ON b.l_orderkey = o_orderkey AND b.odd = 1 AND b.r = 1""")
 def match_ground_truth(spark, sf_dir):
     files = views.table(spark, sf_dir, "orders").select(F.lit("x").alias("commodity"), F.col("o_orderkey").alias("stem"))
-    lines = views.table(spark, sf_dir, "lineitem").filter("l_linenumber IN (1, 2)")
-    truth = lines.select(F.when(F.col("l_linenumber") == 2, "x").otherwise("").alias("commodity"), F.col("l_orderkey").alias("stem"), F.struct("l_suppkey", "l_partkey").alias("position"), F.col("l_partkey").alias("part"))
+    lines = views.table(spark, sf_dir, "lineitem")
+    truth = lines.select(F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("").alias("commodity"), F.col("l_orderkey").alias("stem"), F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("position"), F.col("l_partkey").alias("part"))
     return store.match_ground_truth(files, truth).select("stem", "part", "has_truth")
 
 
@@ -624,14 +624,6 @@ def hybrid_pages(spark, sf_dir):
     return classify.hybrid_documents(pages).withColumn("scanned_ratio", F.round("scanned_ratio", 6))
 
 
-@query()
-def fn_ema(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events")
-    kind = lambda n: F.when(F.col(n) % 2 == 0, "scanned").otherwise("native_pdf")
-    own = e.select(F.col("event_type").alias("model"), "event_id", kind("event_id").alias("truth"), F.when(F.col("value") > 10, kind("user_id")).otherwise(kind("event_id")).alias("predicted"))
-    return classify.feedback_averages(own, "model", "event_id")
-
-
 @query("""SELECT doc_id, CASE WHEN regexp_matches(lower(source || '.pdf'), 'scan|skc|image|jpg|png') THEN 0.7 ELSE 0.0 END AS filename_signal, CASE WHEN n_chars * 1000 > 5000000 THEN 0.4 WHEN n_chars * 1000 < 500000 THEN -0.2 ELSE 0.0 END AS size_signal,
 CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0.0 END AS type_signal FROM documents""")
 def metadata_signals(spark, sf_dir):
@@ -713,12 +705,6 @@ def line_columns(spark, sf_dir):
     return layout.column_lines(views.words(spark, sf_dir)).select("doc_id", "page", "line", F.size("segments").alias("columns"), "text")
 
 
-@query()
-def json_light(spark, sf_dir):
-    ship_package(spark)
-    return layout.json_light(layout.column_lines(views.words(spark, sf_dir)))
-
-
 @query(f"""WITH {W}, c AS (SELECT *, (t + t + h) // 2 AS cy, CAST(floor(l + CAST(w AS DOUBLE) / 2) AS BIGINT) AS cx FROM words),
 r AS (SELECT *, CASE WHEN cy - lag(cy) OVER (PARTITION BY doc_id, page ORDER BY cy, cx, text) > 12 THEN 1 ELSE 0 END AS jr, CASE WHEN cx - lag(cx) OVER (PARTITION BY doc_id, page ORDER BY cx, cy, text) > 40 THEN 1 ELSE 0 END AS jc FROM c),
 g AS (SELECT *, sum(jr) OVER (PARTITION BY doc_id, page ORDER BY cy, cx, text ROWS UNBOUNDED PRECEDING) AS row, sum(jc) OVER (PARTITION BY doc_id, page ORDER BY cx, cy, text ROWS UNBOUNDED PRECEDING) AS col FROM r)
@@ -752,11 +738,6 @@ def words_outside(spark, sf_dir):
     return layout.words_outside(words, boxes).select("doc_id", "page", "text", "left", "top")
 
 
-@query()
-def page_regions(spark, sf_dir):
-    return layout.regions(views.words(spark, sf_dir), 3000)
-
-
 # --- retrieval ------------------------------------------------------------------------------------------------------
 
 

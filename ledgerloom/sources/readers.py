@@ -6,7 +6,7 @@ import csv
 import datetime as dt
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import store
@@ -121,6 +121,18 @@ def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", batch: int = 10_000, **options: str) -> None:
+    """Rows to a table of a relational database. Each task writes its rows in one transaction and rolls it back when it
+    fails; connections are one per task, so their number is that of the partitions."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=name, batchsize=str(batch), isolationLevel="READ_COMMITTED", **options).save()
+
+
+def from_bytes(spark: SparkSession, uploads: list[tuple[str, bytes]]) -> DataFrame:
+    """Uploads held in memory (name, content) as rows of a binary scan; for single requests, not for bulk."""
+    files = spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in uploads], "path string, length long, content binary")
+    return supported(files)
+
+
 def render_adapter(files: DataFrame, render=None, schema: str = "path string, page int, image binary") -> DataFrame:
     """Pages as images by a caller's renderer over Arrow batches; without one, no pages (nothing here can draw)."""
     if render is None:
@@ -136,12 +148,43 @@ def text_layer(files: DataFrame, read=None) -> DataFrame:
 
 
 def suppliers_fixture(spark: SparkSession, seed: int = 42) -> DataFrame:
-    """18 suppliers x 3 tiers x 3 customers of invoices with amounts that depend on the seed and the key alone."""
+    """18 suppliers x 3 tiers x 3 customers of invoices that depend on the seed and the key alone."""
     base = spark.range(18).select(F.col("id").alias("supplier")).crossJoin(spark.range(3).select(F.col("id").alias("tier"))).crossJoin(spark.range(3).select(F.col("id").alias("customer")))  # 162 rows
     commodity = F.element_at(F.array(*map(F.lit, ("elektrina_nn", "elektrina_vn", "plyn_mo", "plyn_vo", "teplo", "voda"))), (F.col("supplier") % 6 + 1).cast("int"))
-    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "supplier", "tier", "customer"), F.lit(1_000_000)) / 1_000_000
-    start = F.date_add(F.lit("2023-01-01").cast("date"), (draw(1) * 700).cast("int"))
-    return base.select(
-        F.format_string("SYN-%02d-%d-%d", "supplier", "tier", "customer").alias("invoice_number"), commodity.alias("commodity"), F.concat(F.lit("Q"), F.col("tier") + 1).alias("quality"),
-        start.alias("period_from"), F.date_add(start, (30 + draw(2) * 335).cast("int")).alias("period_to"), F.round(500 + draw(3) * 99_500, 2).alias("amount_ex_vat"),
-    )
+    own = base.select(F.format_string("SYN-%02d-%d-%d", "supplier", "tier", "customer").alias("invoice_number"), commodity.alias("commodity"), F.concat(F.lit("Q"), (F.col("tier") + 1).cast("string")).alias("quality"))
+    start = F.date_add(F.lit("2023-01-01").cast("date"), F.floor(drawn("start", "invoice_number", seed) * 700 / 10_000).cast("int"))
+    return own.withColumn("period_from", start).withColumn("period_to", F.date_add("period_from", F.floor(30 + drawn("days", "invoice_number", seed) * 335 / 10_000).cast("int")))
+
+
+def drawn(what: str, key: str, seed: int) -> Column:
+    """A number from 0 to 9,999 that seed, purpose and key alone decide."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(what), F.col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000
+
+
+#: Least and largest consumption and unit price by commodity, and the rate of tax in percent.
+AMOUNT_RANGES = {
+    "elektrina_nn": (1500, 12_000, 4.5, 6.5, 21),
+    "elektrina_vn": (30_000, 180_000, 1.8, 5.5, 21),
+    "plyn_mo": (2000, 30_000, 1.8, 3.2, 21),
+    "plyn_vo": (50_000, 400_000, 1.2, 2.0, 21),
+    "teplo": (10, 80, 450.0, 750.0, 21),
+    "voda": (80, 600, 68.0, 95.0, 12),
+}
+
+
+def with_amounts(invoices: DataFrame, key: str = "invoice_number", seed: int = 42) -> DataFrame:
+    """Synthetic invoices with consumption, unit price, amounts, advances (in hundreds) and balance, drawn from the
+    commodity's ranges by :func:`drawn`."""
+    spark = invoices.sparkSession
+    ranges = spark.createDataFrame([(c, *r) for c, r in AMOUNT_RANGES.items()], "commodity string, _low int, _high int, _least double, _most double, vat_rate int")
+
+    draw = lambda what: drawn(what, key, seed)
+    own = invoices.join(F.broadcast(ranges), "commodity")
+    # whole numbers up to the last step: prices in ten-thousandths, amounts in hundredths, halves rounded up
+    own = own.withColumn("consumption", (F.col("_low") + F.floor((F.col("_high") - F.col("_low")) * draw("consumption") / 10_000)).cast("long"))
+    own = own.withColumn("_price", F.round(F.col("_least") * 10_000).cast("long") + F.floor(F.round((F.col("_most") - F.col("_least")) * 10_000).cast("long") * draw("price") / 10_000))
+    own = own.withColumn("_ex", F.floor((F.col("consumption") * F.col("_price") + 50) / 100)).withColumn("_vat", F.floor((F.col("_ex") * F.col("vat_rate") + 50) / 100))
+    own = own.withColumn("_advances", F.floor((F.col("_ex") + F.col("_vat")) * (7000 + F.floor(draw("advances") * 6 / 10)) / 100_000_000) * 10_000)
+    money = {"unit_price": F.col("_price") / 10_000, "amount_ex_vat": F.col("_ex") / 100, "vat_amount": F.col("_vat") / 100, "amount_inc_vat": (F.col("_ex") + F.col("_vat")) / 100, "advances": F.col("_advances") / 100, "balance": (F.col("_ex") + F.col("_vat") - F.col("_advances")) / 100}
+    return own.withColumns(money).drop("_low", "_high", "_least", "_most", "_price", "_ex", "_vat", "_advances")

@@ -23,8 +23,9 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def json_report(evaluations: DataFrame, corpus: DataFrame, key: str = "strategy") -> DataFrame:
-    """One JSON text per strategy with its evaluations and its corpus metrics."""
-    own = evaluations.groupBy(key).agg(F.collect_list(F.struct(*[c for c in evaluations.columns if c != key])).alias("evaluations"))
+    """One JSON text per strategy with its evaluations, in order, and its corpus metrics. A report is one text, so this is
+    meant for reports; tables of any size go to :func:`write_json_lines`."""
+    own = evaluations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in evaluations.columns if c != key]))).alias("evaluations"))
     whole = corpus.select(key, F.struct(*[c for c in corpus.columns if c != key]).alias("corpus"))
     return own.join(whole, key, "full").select(key, F.to_json(F.struct("evaluations", "corpus")).alias("report"))
 
@@ -61,3 +62,30 @@ def text_table(df: DataFrame, limit: int = 100) -> str:
     rows = [df.columns, *[["" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(limit).collect()]]
     widths = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows)
+
+
+def run_outputs(folder: str, results: DataFrame, summary: DataFrame, audit: DataFrame, digits: dict[str, int] | None = None) -> dict[str, str]:
+    """A run's files under ``folder``: results as CSV and as JSON lines, the summary as JSON, the audit of corrected
+    amounts as CSV; where each one is."""
+    paths = {n: f"{folder.rstrip('/')}/{n}" for n in ("results_csv", "results_jsonl", "summary_json", "audit_csv")}
+    write_csv(results, paths["results_csv"], digits)
+    write_json_lines(results, paths["results_jsonl"])
+    summary.coalesce(1).write.mode("overwrite").json(paths["summary_json"])  # a small aggregate
+    write_csv(audit, paths["audit_csv"])
+    return paths
+
+
+def field_report(fields: DataFrame, title: str = "fields") -> str:
+    """Per-field metrics as text, worst first."""
+    return f"{title}\n" + text_table(fields.orderBy("f1", "field_name"))
+
+
+def effect_report(effects: DataFrame) -> str:
+    """Effect sizes as text, largest first."""
+    return text_table(effects.orderBy(F.desc(F.abs("d")), "group_a", "group_b"))
+
+
+def interval_report(intervals: DataFrame, group: str) -> str:
+    """Point estimates with their intervals as text."""
+    shown = F.format_string("%.4f [%.4f, %.4f]", "point", "lower", "upper")
+    return text_table(intervals.orderBy(group).select(group, "n", shown.alias("interval")))
