@@ -1,6 +1,8 @@
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm.common import ASCII_UPPER
 from ledgerloom.llm import exact_dedup, language_id, minhash
@@ -65,3 +67,23 @@ def test_rows_without_id_and_repeated_ids_stay(spark):
     kept = minhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(3, a), (7, b), (0, c), (8, d)])
+
+
+def test_every_stage_with_awkward_rows(spark, tmp_path):
+    """Nulls in any column, repeated ids and rows, columns whose names the stages use themselves, an empty table."""
+    a, b = prose(1, 70), prose(2, 70)
+    extra = {c: F.lit("x") for c in ("key", "sha", "_id", "_digest", "scores", "chunk", "row", "kept", "queue", "tag", "bucket", "component", "_row")}
+    rows = [(None, a, None, None, None), (None, a, "en", "s", 3), (4, None, "en", "s", None), (4, b, None, "s", 1), (4, b, None, "s", 1), (4, b + " tail", None, None, 2), (9, a + " end", "en", "t", 5), (None, None, None, None, None)]
+    spark.createDataFrame([(1, None, None), (2, "http://a.b/4", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    docs = spark.createDataFrame(rows, DOCS).withColumns(extra)
+    for name, frame in (("some", docs), ("none", docs.limit(0))):
+        left = frame
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            left = function(spark, left, str(tmp_path))
+            assert left.columns == docs.columns
+            left.write.parquet(str(tmp_path / f"{name}-{stage}"))
+            left = spark.read.schema(left.schema).parquet(str(tmp_path / f"{name}-{stage}"))
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+        assert bool(packed) == (name == "some")
+        if name == "some":
+            assert sorted(r.text for r in left.collect()) == sorted([b, a + " end"])

@@ -53,6 +53,13 @@ def test_codec_digests(spark, library, texts):
         assert got[k].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_codec_edges(spark, library):
+    assert piece_codec.codec_digests(spark.createDataFrame([], DOCS), PIECES).count() == 0
+    rows = documents(spark, ["a b", "a b", None, "long word " * 60_000], ids=[1, 1, None, 2])
+    got = piece_codec.codec_digests(rows.withColumn("n_tokens", rows.n_chars).withColumn("ids", rows.source), PIECES).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((k, len(library.encode(t)) + 1) for k, t in ((1, "a b"), (1, "a b"), (0, ""), (2, "long word " * 60_000)))
+
+
 def test_round_trip(spark, texts):
     docs = documents(spark, texts)
     back = piece_codec.decode_documents(piece_codec.encode_documents(docs, PIECES), PIECES)
