@@ -17,12 +17,13 @@ import os
 import re
 import sys
 import zlib
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ EQUAL = "equal"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 LATIN = re.compile("[\x00-\x1b\x20-\xff]*")
+#: The usual form of a chunk in lower case: two words of the pattern.
+WORD_AND_MARKS = r"^(?P<word>[a-z]+)(?P<marks>[.,;:!?]*)$"
 
 
 def byte_letters() -> list[str]:
@@ -53,6 +56,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(0x100 + hidden.index(b)) for b in range(256)]
 
 
+class Chunks(dict):
+    """Ids by chunk; a chunk that is looked up first is encoded, and kept unless it is long."""
+
+    def __init__(self, encode: Callable[[str], bytes], longest: int) -> None:
+        super().__init__()
+        self.encode, self.longest = encode, longest
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= self.longest:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkTokenizer:
     """Exact ids of whole texts by way of bounded caches of chunks between blanks and of the words in them.
 
@@ -61,7 +78,7 @@ class ChunkTokenizer:
     through the whole tokenizer.
     """
 
-    CHUNKS, WORDS, LONGEST = 400_000, 500_000, 40
+    CHUNKS, WORDS, LONGEST = 400_000, 400_000, 40
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,49 +87,74 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.letters = byte_letters()
         setup = json.loads(self.tokenizer.to_str())
         own = json.dumps(WORD_PATTERN) in json.dumps(setup["pre_tokenizer"]) and "Lowercase" in json.dumps(setup["normalizer"])
         self.by_word = own and sys.byteorder == "little"
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.known = Chunks(self._chunk if self.by_word else self._whole, self.LONGEST)
+        self.words = Chunks(self._word, self.LONGEST)
 
-    def _whole(self, chunks: list[str]) -> Iterator[bytes]:
-        return (np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
 
     def _word(self, word: str) -> bytes:
         spelt = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
-        return array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-
-    def _latin(self, chunk: str) -> bytes:
-        out, words = [], self.words
-        for word in LATIN_WORDS.findall(chunk.lower()):
-            if (ids := words.get(word)) is None:
-                ids = self._word(word)
-                if len(word) <= self.LONGEST:
-                    words[word] = ids
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        return array.array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk or not ((chunk.isascii() and chunk.isprintable()) or LATIN.fullmatch(chunk)):
+            return self._whole(chunk)
+        return b"".join(map(self.words.__getitem__, LATIN_WORDS.findall(chunk.lower())))
+
+    def _parts(self, chunks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Strings of ids, and of each chunk the two of them that it consists of: a plain word and the marks after it, or
+        the whole chunk and nothing."""
+        if not self.by_word:
+            return [*map(self.known.__getitem__, chunks.to_pylist()), b""], np.arange(len(chunks)), np.full(len(chunks), len(chunks))
+        split = pc.extract_regex(chunks, WORD_AND_MARKS)
+        word, marks = (pc.struct_field(split, [k]).dictionary_encode() for k in (0, 1))
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        others = chunks.filter(pa.array(~plain))
+        listed = [x.to_numpy(zero_copy_only=False).tolist() for x in (word.dictionary, marks.dictionary, others)]
+        ids = [*map(self.words.__getitem__, listed[0]), *[self.words[m] if m else b"" for m in listed[1]], *map(self.known.__getitem__, listed[2]), b""]
+        first, second = np.empty(len(chunks), np.int64), np.full(len(chunks), len(ids) - 1)
+        first[plain] = word.indices.drop_null().to_numpy()
+        second[plain] = marks.indices.drop_null().to_numpy() + len(listed[0])
+        first[~plain] = np.arange(len(listed[2])) + len(listed[0]) + len(listed[1])
+        return ids, first, second
+
+    def encode(self, texts: pa.Array, end: int | None) -> pa.Array:
+        """Each text's ids as little-endian integers of ``width``, with ``end`` after them; null is empty.
+
+        A batch is cut into chunks at once; each distinct word is looked up once, and the ids are gathered by number. A-Z are
+        lower-cased before, as the tokenizer would do.
+        """
+        for cache, most in ((self.known, self.CHUNKS), (self.words, self.WORDS)):
+            if len(cache) > most:
+                cache.clear()
+        low = pc.ascii_lower(pc.fill_null(texts, "")) if self.by_word else pc.fill_null(texts, "")
+        lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
+        numbered = lists.flatten().dictionary_encode()
+        strings, first, second = self._parts(numbered.dictionary)
+        ids = np.frombuffer(b"".join(strings), self.width)
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings)) // ids.itemsize
+        number = numbered.indices.to_numpy()
+        parts = np.stack([first[number], second[number]], axis=1).ravel()
+        own = lengths[parts]
+        ends = np.cumsum(own)
+        at = np.repeat((np.cumsum(lengths) - lengths)[parts] - (ends - own), own)
+        at += np.arange(len(at))
+        heads = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        tails = np.concatenate(([0], ends))[2 * heads]  # ids before each text, and all of them
+        out = ids[at]
+        if end is not None:
+            out = np.insert(out, tails[1:], end)
+            tails = tails + np.arange(len(tails))
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(tails * ids.itemsize), pa.py_buffer(np.ascontiguousarray(out))])
 
     def encode_batch(self, texts: list[str], end: int | None) -> list[bytes]:
-        """Each text's ids as little-endian integers of ``width``, with ``end`` after them."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.CHUNKS:
-            self.known.clear()
-        if len(self.words) > self.WORDS:
-            self.words.clear()
-        known = self.known
-        new = set().union(*split).difference(known)
-        latin = [c for c in new if self.by_word and "<|" not in c and LATIN.fullmatch(c)]
-        known.update(zip(latin, map(self._latin, latin), strict=True))
-        rest = list(new.difference(latin))
-        known.update(zip(rest, self._whole(rest), strict=True))
-        tail = b"" if end is None else np.array([end], self.width).tobytes()
-        out = [b"".join(map(known.__getitem__, chunks)) + tail for chunks in split]
-        for c in new:
-            if len(c) > self.LONGEST:
-                del known[c]
-        return out
+        return self.encode(pa.array(texts, pa.string()), end).to_pylist()
 
 
 @lru_cache(maxsize=2)
@@ -311,18 +353,18 @@ def pack_documents(
         tag, sums = TaskContext.get().partitionId(), {}  # names this task's rows in the table that is written once
         for batch in batches:
             ids, texts, sources = (batch.column(k) for k in range(3))
-            packed = own.encode_batch([t or "" for t in texts.to_pylist()], end_id)
-            n = [len(p) // size for p in packed]
+            packed = own.encode(texts, end_id)
+            n = (np.diff(np.frombuffer(packed.buffers()[1], np.int64)) // size).tolist()
             starts = []
             for s, k in zip(queues := [REST if s is None else s for s in sources.to_pylist()], n, strict=True):
                 starts.append(sums.get(s, 0))
                 sums[s] = starts[-1] + k
             yield pa.RecordBatch.from_arrays(
-                [ids, sources, pa.array(queues), pa.array([tag] * len(n), pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
+                [ids, sources, pa.array(queues), pa.array([tag] * len(n), pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), packed.cast(pa.binary())],
                 ["doc_id", "source", "queue", "tag", "start", "n", "ids"],
             )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
     schema = "doc_id long, source string, queue string, tag long, start long, n long, ids binary"
     picked.select("doc_id", "text", "source").mapInArrow(lean(tokenise, "tokens"), schema).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(schema).parquet(path)
@@ -344,18 +386,18 @@ def pack_documents(
         size = np.dtype(width).itemsize
         near: dict[int, int] = {}
         plan, paths = told.value
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
         for batch in batches:
-            rows: list[tuple] = []
+            out: list[list] = [[] for _ in OUT]
             doc, src, ids, n, k, first = (batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "n", "k", "first"))
             for d, s, packed, m, q, at in zip(doc, src, ids, n, k, first, strict=True):
+                wide = packed if size == 4 else np.frombuffer(packed, width).astype("<u4").tobytes()
                 for start, length, sequence, offset in plan.pieces(paths[q], at, m, near.get(q, 0)) if m else ():
-                    own = packed[start * size : (start + length) * size]
-                    crc = zlib.crc32(np.frombuffer(own, width).astype("<u4").tobytes())
-                    rows.append((d, s, start, length, crc, m, sequence, offset, own))
+                    row = (d, s, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), m, sequence, offset, packed[start * size : (start + length) * size])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
                     near[q] = min(sequence, plan.total // plan.window)
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], OUT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], OUT)
 
     if sums.count() <= BROADCAST_SUMS:
         firsts = F.broadcast(firsts)
