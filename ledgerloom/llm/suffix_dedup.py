@@ -11,7 +11,10 @@ equal anchors. Three passes over chunks of documents that are dealt once:
    differ in the byte to their left are the maximal repeat groups within spans, with all their occurrences.
 3. Occurrences whose group holds a smaller document come back as ranges; chunks remove their bytes.
 
-A passage that a third of all documents share sends one span per chunk, not one per document.
+A passage that a third of all documents share sends one span per chunk, not one per document. An anchor with more than HOT
+spans (a common phrase, with as many different contexts) would still bring them all to one task. Its windows are dealt
+instead, by a hash of their own: first a bit each as for anchors, then a 128-bit digest and the least document of those
+that occur again. So no task holds more than its range of hashes and HOT spans of an anchor, whatever is frequent.
 """
 
 from __future__ import annotations
@@ -36,10 +39,14 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 22) - 1)
 
 
-def gram_hashes(block: np.ndarray, gram: int) -> np.ndarray:
+#: Spans of an anchor, in all chunks, beyond which its windows are dealt; spans in a chunk from which they are counted.
+HOT, MANY = 20_000, 16
+
+
+def gram_hashes(block: np.ndarray, gram: int, base: int = int(_M2)) -> np.ndarray:
     """64-bit hash of each ``gram``-byte string, built from halves: h(2n)[i] = h(n)[i] * B**n + h(n)[i + n]."""
     with np.errstate(over="ignore"):
-        power, size, base = block.astype(np.uint64) + np.uint64(1), 1, int(_M2)
+        power, size = block.astype(np.uint64) + np.uint64(1), 1
         out, done, left = None, 0, gram
         while left:
             if left & 1:
@@ -213,20 +220,20 @@ class Chunk:
         self.rank = np.empty(len(sorted_), np.int64)
         self.rank[by_hash] = np.cumsum(head) - 1
 
-    def anchor_rows(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-        bucket = _bucket(self.anchors, buckets)
-        low = ((self.anchors >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield int(bucket[a]), low[a:b].tobytes(), np.packbits(self.shared[a:b]).tobytes()
-
-    def repeated(self, answers: pa.Table, buckets: int) -> np.ndarray:
-        """Which anchors occur in another document, from the bits of the key-range tasks."""
-        bucket, out = _bucket(self.anchors, buckets), np.zeros(len(self.anchors), bool)
-        for own, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            a, b = np.searchsorted(bucket, [own, own + 1])
-            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        return out
+    def anchor_rows(self, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """(bucket, low bits, whether in several documents here, place and number of spans where there are many)."""
+        counts = np.bincount(self.rank, minlength=len(self.anchors)) if len(self.rank) else np.empty(0, np.int64)
+        for bucket, a, b in _slices(_bucket(self.anchors, buckets)):
+            many = np.flatnonzero(counts[a:b] >= MANY)
+            yield bucket, _low(self.anchors[a:b]).tobytes(), np.packbits(self.shared[a:b]).tobytes(), np.stack([many, counts[a:b][many]], axis=1).astype(np.uint32).tobytes()
+
+    def repeated(self, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which anchors occur in another document, and which of them are hot, from the answers of the key-range tasks."""
+        bucket, hot = _bucket(self.anchors, buckets), np.zeros(len(self.anchors), bool)
+        for own, places in zip(answers["bucket"].to_pylist(), answers["hot"].to_pylist(), strict=True):
+            if places:
+                hot[np.searchsorted(bucket, own) + np.frombuffer(places, np.uint32)] = True
+        return _told(answers, bucket), hot
 
     def distinct(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Spans of repeated anchors; of each the index of its first equal; the bytes of each first."""
@@ -237,6 +244,80 @@ class Chunk:
         return found, np.array(same, np.int64), list(seen)
 
 
+def _low(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of the runs of ordered bucket numbers."""
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(bucket[a]), int(a), int(b)
+
+
+def _told(answers: pa.Table, bucket: np.ndarray) -> np.ndarray:
+    """The answers' bits for items that are in order of their bucket."""
+    out = np.zeros(len(bucket), bool)
+    for own, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+        a, b = np.searchsorted(bucket, [own, own + 1])
+        out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+    return out
+
+
+class Windows:
+    """The windows of a chunk's distinct spans of hot anchors; each different window has a number in order of its hashes."""
+
+    def __init__(self, own: Chunk, found: np.ndarray, same: np.ndarray, texts: list[bytes], hot: np.ndarray, length: int) -> None:
+        first = found[np.unique(same, return_index=True)[1]] if len(same) else np.empty(0, np.int64)
+        #: of the distinct spans, whether they are dealt by window, and their least document
+        self.hot = hot[own.rank[first]] if len(first) else np.empty(0, bool)
+        self.owners = own.keys[own.spans.doc[first]] if len(first) else np.empty(0, np.int64)
+        numbers = np.flatnonzero(self.hot)
+        out, held, size = [], [], 0
+        for k, n in enumerate(numbers.tolist()):
+            held.append(n)
+            size += len(texts[n])
+            if size > BLOCK or k + 1 == len(numbers):
+                out.append(self._hashed(held, [texts[n] for n in held], length))
+                held, size = [], 0
+        self.span, self.offset, one, two = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        head = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.empty(0, bool)
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(head) - 1
+        self.one, self.two = one[head], two[head]
+        owner = self.owners[self.span]
+        self.least, most = np.full(len(self.one), NO_ID), np.full(len(self.one), -NO_ID)
+        np.minimum.at(self.least, self.number, owner)
+        np.maximum.at(most, self.number, owner)
+        self.shared = self.least != most
+
+    @staticmethod
+    def _hashed(numbers: list[int], texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+        block = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        counts = sizes - length + 1
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
+        return np.repeat(np.array(numbers, np.int64), counts), offset, gram_hashes(block, length)[at], gram_hashes(block, length, int(_M1))[at]
+
+    def rows(self, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        for bucket, a, b in _slices(_bucket(self.one, buckets)):
+            yield bucket, _low(self.one[a:b]).tobytes(), np.packbits(self.shared[a:b]).tobytes(), b""
+
+    def again(self, answers: pa.Table, buckets: int) -> np.ndarray:
+        """Numbers of the windows that occur in another document, here or elsewhere."""
+        return np.flatnonzero(_told(answers, _bucket(self.one, buckets)))
+
+    def covered(self, again: np.ndarray, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(span, offset) of the windows that a smaller document has, in this chunk or (by the answers) in another one."""
+        gone = np.zeros(len(self.one), bool)
+        gone[again] = _told(answers, _bucket(self.one[again], buckets))
+        hit = gone[self.number] | (self.owners[self.span] > self.least[self.number])
+        return self.span[hit], self.offset[hit]
+
+
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False
 ) -> DataFrame:
@@ -255,59 +336,116 @@ def remove_repeats(
         *[F.struct(*others).alias("row")] * with_row, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("long").alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text")
     ).repartition(chunks, "chunk")
 
-    def anchors(rows: pa.Table) -> pa.Table:
-        sent = list(Chunk(rows, length, gram).anchor_rows(buckets))
-        chunk = rows["chunk"][0].as_py()
-        bucket, low, shared = zip(*sent, strict=True) if sent else ((), (), ())
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([chunk] * len(sent), pa.int64()), "low": pa.array(low, pa.binary()), "shared": pa.array(shared, pa.binary())})
+    asked = "bucket long, chunk long, low binary, shared binary, many binary"
+
+    def question(chunk: int, sent: list[tuple]) -> pa.Table:
+        bucket, *rest = zip(*sent, strict=True) if sent else ((), (), (), ())
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([chunk] * len(sent), pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in zip(("low", "shared", "many"), rest, strict=True)}})
 
-    sent = dealt.groupBy("chunk").applyInArrow(trimmed(anchors), "bucket long, chunk long, low binary, shared binary")
+    def anchors(rows: pa.Table) -> pa.Table:
+        return question(rows["chunk"][0].as_py(), list(Chunk(rows, length, gram).anchor_rows(buckets)))
 
     def answer(bucket: int, rows: pa.Table) -> pa.RecordBatch:
         low = [np.frombuffer(x, np.uint32) for x in rows["low"].to_pylist()]
         sizes = [len(x) for x in low]
+        heads = np.cumsum(sizes) - sizes
         flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["shared"].to_pylist(), sizes, strict=True)]).astype(bool)
-        values = np.concatenate(low)
+        values, spans = np.concatenate(low), np.ones(len(flags), np.int64)
+        for head, many in zip(heads.tolist(), rows["many"].to_pylist(), strict=True):
+            if many:
+                place, n = np.frombuffer(many, np.uint32).reshape(-1, 2).T
+                spans[head + place] = n
         order = np.argsort(values, kind="stable")
         ordered = values[order]
-        same = np.concatenate((ordered[1:] == ordered[:-1], [False]))
-        twice = same | np.concatenate(([False], same[:-1]))
-        flags[order[twice]] = True
-        bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
-        return pa.RecordBatch.from_arrays([rows["chunk"].combine_chunks(), pa.array([bucket] * len(bits), pa.int64()), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
-
-    # written once: two later passes read the bits, and no stage holds two of these operators
-    answers = stash(by_group(sent, "bucket", trimmed(answer), "chunk long, bucket long, bits binary", buckets), "anchor-bits")
-
-    def spans(rows: pa.Table, bits: pa.Table) -> pa.Table:
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.diff(np.concatenate((first, [len(ordered)])))
+        flags[order[np.repeat(counts > 1, counts)]] = True
+        crowd = np.zeros(len(flags), bool)
+        crowd[order] = np.repeat(np.add.reduceat(spans[order], first) > HOT, counts)
+        crowd &= flags
+        ends = np.cumsum(sizes)[:-1]
+        bits = [np.packbits(x).tobytes() for x in np.split(flags, ends)]
+        hot = [np.flatnonzero(x).astype(np.uint32).tobytes() for x in np.split(crowd, ends)]
+        return pa.RecordBatch.from_arrays([rows["chunk"].combine_chunks(), pa.array([bucket] * len(bits), pa.int64()), pa.array(bits, pa.binary()), pa.array(hot, pa.binary())], ["chunk", "bucket", "bits", "hot"])
+
+    told = "chunk long, bucket long, bits binary, hot binary"
+    grouped = dealt.groupBy("chunk")
+    # written once: later passes read the bits, and no stage holds two of these operators
+    sent = grouped.applyInArrow(trimmed(anchors), asked)
+    answers = stash(by_group(sent, "bucket", trimmed(answer), told, buckets), "anchor-bits").withColumn("level", F.lit(0))
+
+    def at_level(rows: pa.Table, level: int) -> pa.Table:
+        return rows.filter(pa.compute.equal(rows["level"], level)) if rows.num_rows else rows
+
+    def opened(rows: pa.Table, back: pa.Table) -> tuple[Chunk, np.ndarray, np.ndarray, list[bytes], Windows]:
+        own = Chunk(rows, length, gram)
+        repeated, hot = own.repeated(at_level(back, 0), buckets)
+        found, same, texts = own.distinct(repeated)
+        return own, found, same, texts, Windows(own, found, same, texts, hot, length)
+
+    def windows(rows: pa.Table, back: pa.Table) -> pa.Table:
+        if not rows.num_rows or not back.num_rows or not any(back["hot"].to_pylist()):
+            return question(0, [])
+        return question(rows["chunk"][0].as_py(), list(opened(rows, back)[-1].rows(buckets)))
+
+    if not answers.filter("length(hot) > 0").isEmpty():
+        asked_again = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(trimmed(windows), asked)
+        again = stash(by_group(asked_again, "bucket", trimmed(answer), told, buckets), "window-bits")
+        answers = answers.unionByName(again.withColumns({"level": F.lit(1), "hot": F.lit(None).cast("binary")}))
+
+    def spans(rows: pa.Table, back: pa.Table) -> pa.Table:
         out = {"bucket": [], "chunk": [], "number": [], "owner": [], "size": [], "spans": []}
-        if rows.num_rows and bits.num_rows:
-            own = Chunk(rows, length, gram)
-            found, same, texts = own.distinct(own.repeated(bits, buckets))
+        if rows.num_rows and back.num_rows:
+            own, found, same, texts, dealt_windows = opened(rows, back)
+            chunk = rows["chunk"][0].as_py()
             first = np.unique(same, return_index=True)[1]
             owner, anchor = own.keys[own.spans.doc[found[first]]], own.spans.anchor[found[first]]
             bucket = _bucket(anchor, buckets)
             order = np.argsort(bucket, kind="stable")
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part = order[a:b]
-                if not len(part):
-                    continue
+            order = order[~dealt_windows.hot[order]]
+            for b, x, y in _slices(bucket[order]):
+                part = order[x:y]
                 strings = [texts[k] for k in part.tolist()]
-                out["bucket"].append(int(bucket[part[0]]))
-                out["chunk"].append(rows["chunk"][0].as_py())
-                out["number"].append(part.astype(np.uint32).tobytes())
-                out["owner"].append(owner[part].tobytes())
-                out["size"].append(np.array([len(s) for s in strings], np.uint16).tobytes())
-                out["spans"].append(b"".join(strings))
+                row = b, chunk, part.astype(np.uint32).tobytes(), owner[part].tobytes(), np.array([len(s) for s in strings], np.uint16).tobytes(), b"".join(strings)
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+            some = dealt_windows.again(at_level(back, 1), buckets)
+            one, two = dealt_windows.one[some], dealt_windows.two[some]
+            for b, x, y in _slices(_bucket(one, buckets)):  # windows: no numbers, digests instead of spans
+                row = b, chunk, None, dealt_windows.least[some[x:y]].tobytes(), None, np.stack([one[x:y], two[x:y]], axis=1).tobytes()
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
-    grouped = dealt.groupBy("chunk")
     candidates = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(trimmed(spans), "bucket long, chunk long, number binary, owner binary, size binary, spans binary")
 
+    def judge_windows(bucket: int, rows: pa.Table) -> list[tuple]:
+        digests = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in rows["spans"].to_pylist()]
+        sizes = [len(x) for x in digests]
+        if not sizes:
+            return []
+        every, owner = np.concatenate(digests), np.concatenate([np.frombuffer(x, np.int64) for x in rows["owner"].to_pylist()])
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        ordered = every[order]
+        first = np.flatnonzero(np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1))))
+        counts = np.diff(np.concatenate((first, [len(ordered)])))
+        later = np.empty(len(every), bool)
+        later[order] = owner[order] > np.repeat(np.minimum.reduceat(owner[order], first), counts)
+        return [(c, bucket, np.packbits(x).tobytes(), None, None, None) for c, x in zip(rows["chunk"].to_pylist(), np.split(later, np.cumsum(sizes)[:-1]), strict=True)]
+
     def judge(bucket: int, rows: pa.Table) -> pa.RecordBatch | None:
+        of_spans = pa.compute.is_valid(rows["number"])
+        out = judge_windows(bucket, rows.filter(pa.compute.invert(of_spans))) + judge_spans(rows.filter(of_spans))
+        if not out:
+            return None
+        names, kinds = ["chunk", "bucket", "bits", "number", "offset", "size"], [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def judge_spans(rows: pa.Table) -> list[tuple]:
         strings, owners, row, number = [], [], [], []
+        if not rows.num_rows:
+            return []
         for k, r in enumerate(rows.to_pylist()):
             sizes = np.frombuffer(r["size"], np.uint16).astype(np.int64)
             ends = np.cumsum(sizes)
@@ -334,32 +472,26 @@ def remove_repeats(
             own = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else first
             parts.append((keep[own], np.repeat(start, n), np.repeat(end - start, n)))
         index, offset, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-        if not len(index):
-            return None
         offset, size = offset.astype(np.uint16), size.astype(np.uint16)
         order = np.argsort(row[index], kind="stable")
         index, offset, size = index[order], offset[order], size[order]
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(row[index])) + 1, [len(index)]))
         chunk = rows["chunk"].to_pylist()
-        out = [(chunk[row[index[a]]], number[index[a:b]].tobytes(), offset[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], ["chunk", "number", "offset", "size"])
+        return [(chunk[k], None, None, number[index[a:b]].tobytes(), offset[a:b].tobytes(), size[a:b].tobytes()) for k, a, b in _slices(row[index])]
 
-    ranges = stash(by_group(candidates, "bucket", trimmed(judge), "chunk long, number binary, offset binary, size binary", buckets), "repeat-ranges")
-    back = answers.select("chunk", "bucket", "bits", *[F.lit(None).cast("binary").alias(c) for c in ("number", "offset", "size")]).unionByName(
-        ranges.select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "number", "offset", "size")
+    ranges = stash(by_group(candidates, "bucket", trimmed(judge), "chunk long, bucket long, bits binary, number binary, offset binary, size binary", buckets), "repeat-ranges")
+    back = answers.withColumns({c: F.lit(None).cast("binary") for c in ("number", "offset", "size")}).unionByName(
+        ranges.withColumns({"level": F.when(F.col("number").isNull(), 2).otherwise(3), "hot": F.lit(None).cast("binary")})
     )
 
     def cut(rows: pa.Table, back: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_row)}
         if rows.num_rows:
-            own = Chunk(rows, length, gram)
+            own, found, same, _, dealt_windows = opened(rows, back)
             heads = np.concatenate(([0], np.cumsum([len(t) for t in own.texts]))).astype(np.int64)
             depth = np.zeros(heads[-1] + 1, np.int32)
-            bits = back.filter(pa.compute.is_valid(back["bits"])) if back.num_rows else back
-            if bits.num_rows:
-                found, same, texts = own.distinct(own.repeated(bits, buckets))
+            if len(found):
                 first = found[np.unique(same, return_index=True)[1]]
-                later = own.keys[own.spans.doc[found]] > own.keys[own.spans.doc[first[same]]] if len(found) else np.empty(0, bool)
+                later = own.keys[own.spans.doc[found]] > own.keys[own.spans.doc[first[same]]]
                 at = heads[own.spans.doc] + own.spans.start
                 np.add.at(depth, at[found[later]], 1)
                 np.add.at(depth, (heads[own.spans.doc] + own.spans.end)[found[later]], -1)
@@ -368,12 +500,17 @@ def remove_repeats(
                 lists: dict[int, list[int]] = {}
                 for k, s in zip(equals.tolist(), same[~later].tolist(), strict=True):
                     lists.setdefault(s, []).append(k)
-                for r in back.filter(pa.compute.is_valid(back["number"])).select(["number", "offset", "size"]).to_pylist():
+                for r in at_level(back, 3).select(["number", "offset", "size"]).to_pylist():
                     number, offset, size = np.frombuffer(r["number"], np.uint32), np.frombuffer(r["offset"], np.uint16), np.frombuffer(r["size"], np.uint16)
                     for n, o, z in zip(number.tolist(), offset.tolist(), size.tolist(), strict=True):
                         for k in lists[n]:
                             depth[at[k] + o] += 1
                             depth[at[k] + o + z] -= 1
+                some = dealt_windows.again(at_level(back, 1), buckets)
+                for n, o in zip(*(x.tolist() for x in dealt_windows.covered(some, at_level(back, 2), buckets)), strict=True):
+                    for k in lists[n]:
+                        depth[at[k] + o] += 1
+                        depth[at[k] + o + length] -= 1
             gone = np.cumsum(depth[:-1]) > 0
             for k, t in enumerate(own.texts):
                 mask = gone[heads[k] : heads[k + 1]]

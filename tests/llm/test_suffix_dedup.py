@@ -42,8 +42,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_equals_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "hot"), [(False, False), (True, False), (False, True), (True, True)])
+def test_equals_brute_force(spark, monkeypatch, small, hot):
+    if hot:
+        monkeypatch.setattr(suffix_dedup, "HOT", 1)
+        monkeypatch.setattr(suffix_dedup, "MANY", 2)
     if small:
         monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 50)
         monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
@@ -89,3 +92,17 @@ def test_maximal_repeats_with_all_occurrences():
         expected = {(s, frozenset(p)) for s, p in expected.items() if maximal(s, p)}
         got = [(segments[r.segments[0]][r.offsets[0] : r.offsets[0] + r.length], frozenset(zip(r.segments.tolist(), r.offsets.tolist(), strict=True))) for r in suffix_dedup.maximal_repeats(segments, 4)]
         assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_common_phrase_with_many_contexts(spark, monkeypatch):
+    """Some anchors hot, others not; the phrase's own windows are shared by all documents, its edges by a few."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 40)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 20_000)
+    names, stash = [], suffix_dedup.stash
+    monkeypatch.setattr(suffix_dedup, "stash", lambda df, name: names.append(name) or stash(df, name))
+    phrase = prose(5, 12)
+    texts = [f"{prose(100 + k, 20)} {phrase} {prose(200 + k, 20)}" for k in range(120)]
+    texts += [f"{prose(100 + k, 20)[-30:]} {phrase} {prose(900 + k, 9)}" for k in range(0, 120, 7)] + [prose(100, 20) + phrase[:30]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(documents(spark, texts, parts=5)).collect()}
+    assert got == dict(enumerate(brute(texts, range(len(texts)))))
+    assert "window-bits" in names
