@@ -39,8 +39,9 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 22) - 1)
 
 
-#: Spans of an anchor, in all chunks, beyond which its windows are dealt; spans in a chunk from which they are counted.
-HOT, MANY = 20_000, 16
+#: Different spans of an anchor, summed over chunks, beyond which its windows are dealt (8 MB of spans); those in a chunk
+#: from which they are counted.
+HOT, MANY = 100_000, 16
 
 
 def gram_hashes(block: np.ndarray, gram: int, base: int = int(_M2)) -> np.ndarray:
@@ -77,12 +78,21 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Spans:
-    """Maximal runs of windows with one anchor, in order: document, first byte and end within it, anchor hash."""
+    """Maximal runs of windows with one anchor, in order: document, first byte and end within it, anchor, and a hash of the
+    span's ends and length, by which most different spans differ."""
 
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
     anchor: np.ndarray
+    ends: np.ndarray
+
+
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes for the same strings: least hashes are small, so they would all fall into the first key ranges."""
+    with np.errstate(over="ignore"):
+        out = (hashes + np.uint64(1)) * _M1
+        return (out ^ (out >> np.uint64(32))) * _M2
 
 
 def spans_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Spans:
@@ -106,7 +116,9 @@ def spans_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Span
         last = np.concatenate((edge[1:], [len(at)])) - 1
         segment = np.repeat(np.arange(len(marks)), sizes)[edge]
         shift = np.array([m[3] for m in marks])[segment] - firsts[segment]
-        out.append((np.array([m[2] for m in marks])[segment], window[edge] + shift, window[last] + length + shift, hashes[at[edge]]))
+        with np.errstate(over="ignore"):
+            ends = hashes[window[edge]] + hashes[window[last] + length - gram] * _M1 + (last - edge).astype(np.uint64)
+        out.append((np.array([m[2] for m in marks])[segment], window[edge] + shift, window[last] + length + shift, remixed(hashes[at[edge]]), ends))
         held, marks, size = [], [], 0
 
     for k, t in enumerate(texts):
@@ -121,7 +133,7 @@ def spans_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Span
             size += len(part)
     flush()
     if not out:
-        return Spans(*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64))
+        return Spans(*(np.empty(0, np.int64) for _ in range(3)), *(np.empty(0, np.uint64) for _ in range(2)))
     return Spans(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
@@ -221,8 +233,12 @@ class Chunk:
         self.rank[by_hash] = np.cumsum(head) - 1
 
     def anchor_rows(self, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """(bucket, low bits, whether in several documents here, place and number of spans where there are many)."""
-        counts = np.bincount(self.rank, minlength=len(self.anchors)) if len(self.rank) else np.empty(0, np.int64)
+        """(bucket, low bits, whether in several documents here, place and number of different spans where there are many)."""
+        counts = np.zeros(len(self.anchors), np.int64)
+        if len(self.rank):
+            with np.errstate(over="ignore"):
+                first = np.unique(remixed(self.rank.astype(np.uint64)) ^ self.spans.ends, return_index=True)[1]
+            counts = np.bincount(self.rank[first], minlength=len(self.anchors))
         for bucket, a, b in _slices(_bucket(self.anchors, buckets)):
             many = np.flatnonzero(counts[a:b] >= MANY)
             yield bucket, _low(self.anchors[a:b]).tobytes(), np.packbits(self.shared[a:b]).tobytes(), np.stack([many, counts[a:b][many]], axis=1).astype(np.uint32).tobytes()

@@ -94,6 +94,12 @@ def test_maximal_repeats_with_all_occurrences():
         assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_key_ranges_are_even():
+    own = suffix_dedup.spans_of([prose(k, 400).encode() for k in range(60)])
+    sizes = np.bincount(suffix_dedup._bucket(np.unique(own.anchor), 16), minlength=16)
+    assert sizes.max() < 1.3 * sizes.mean()
+
+
 def test_common_phrase_with_many_contexts(spark, monkeypatch):
     """Some anchors hot, others not; the phrase's own windows are shared by all documents, its edges by a few."""
     monkeypatch.setattr(suffix_dedup, "HOT", 40)
