@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import stash
+from ledgerloom.llm.common import bounded, stash
 
 BITS = 10
 RUNS = 1 << BITS
-#: Cells per shard in which rows are numbered; their counts are all that crosses tasks.
-CELLS = 1024
+#: Rows in a cell in which they are numbered, about; the cells' counts are all that crosses tasks.
+CELL_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -118,12 +118,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     groups = stash(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
     cuts, capacity = find_cuts(groups, shards)
     shard = sum((F.when(F.col("key") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    placed = rows.withColumn("shard", shard).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
+    cells = max(1, -(-rows.count() // (shards * CELL_ROWS)))
+    placed = rows.withColumn("shard", shard).withColumn("cell", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id"), F.lit(cells)))  # repeated rows are spread too
+    placed = stash(placed, "placed")
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "key", "text_crc32")
-    numbered = placed.withColumn("k", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["shard", "cell"])  # shards x CELLS rows
+    numbered = placed.withColumn("k", F.row_number().over(inside) - 1).join(bounded(offsets), ["shard", "cell"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") + F.col("k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"),

@@ -7,6 +7,7 @@ only those candidates run their regular expression.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +51,15 @@ def literal_tokens(rule: str) -> list[str]:
     return sorted({m.group() for m in re.finditer(r"(?<=[^*a-z0-9])[a-z0-9]+(?=[^*a-z0-9])", closed)})
 
 
-def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])))
+def _listed(rows: list[tuple], schema: str) -> Column:
+    """The rows as one array of structs: a single literal, however many they are."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kind = "array<struct<" + ",".join(c.replace(" ", ":") for c in schema.split(", ")) + ">>"
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), kind)
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.range(1).select(F.inline(_listed(rows, schema)))
 
 
 def host_of(url: Column) -> Column:
@@ -79,11 +87,11 @@ def rule_index(urls: DataFrame, patterns=PATTERN_RULES) -> DataFrame:
     ``token`` is null for rules without a literal token; those are candidates for every URL.
     """
     spark = urls.sparkSession
-    rules = _rows(spark, [(k, to_regex(p), p.startswith("@@")) for k, p in enumerate(patterns)], ["rule_id", "regex", "exempt"])
+    rules = _rows(spark, [(k, to_regex(p), p.startswith("@@")) for k, p in enumerate(patterns)], "rule_id int, regex string, exempt boolean")
     tokens = [(k, t) for k, p in enumerate(patterns) for t in literal_tokens(p)]
     if not tokens:
         return rules.select(F.lit(None).cast("string").alias("token"), "regex", "exempt")
-    tokens = _rows(spark, tokens, ["rule_id", "token"])
+    tokens = _rows(spark, tokens, "rule_id int, token string")
     wanted = tokens.select("token").distinct()
     if len(patterns) <= BROADCAST_RULES:
         wanted = F.broadcast(wanted)
@@ -110,8 +118,10 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERN_RULES,
         by_token = urls.select("url", "low", F.explode("tokens").alias("token")).join(index.filter("token IS NOT NULL"), "token")
         found = by_token.filter(F.expr("low RLIKE regex")).select("url", "regex", "exempt")
         free = [p for p in patterns if not literal_tokens(p)]
-        for p in free:  # no literal to look up: run on every URL
-            found = found.unionByName(urls.filter(F.col("low").rlike(to_regex(p))).select("url", F.lit(to_regex(p)).alias("regex"), F.lit(p.startswith("@@")).alias("exempt")))
+        if free:  # no literal to look up: they run on every URL, in one pass
+            every = _listed([(to_regex(p), p.startswith("@@")) for p in free], "regex string, exempt boolean")
+            hits = urls.select("url", F.explode(F.filter(every, lambda r: F.regexp_like(F.col("low"), r["regex"]))).alias("r"))
+            found = found.unionByName(hits.select("url", "r.regex", "r.exempt"))
         verdicts = found.groupBy("url").agg(
             F.min(F.when(~F.col("exempt"), F.col("regex"))).alias("blocked_by"), F.min(F.when(F.col("exempt"), F.col("regex"))).alias("exempted_by")
         )

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import components, minhash
 from tests.llm.helpers import AWKWARD, DOCS, documents, prose
@@ -69,6 +70,9 @@ def test_edges(spark):
     docs = documents(spark, ["a b", "a b", "a b", None, "x"], ids=[5, 5, None, None, 1])
     got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(docs).collect()]
     assert sorted(got, key=str) == sorted([(5, 5, True), (5, 5, True), (None, None, False), (None, None, False), (1, 1, True)], key=str)
+    x, y = prose(31, 40), prose(32, 40)
+    mixed = minhash.near_dedup(documents(spark, [x, x, y, "w " * 300_000, "w " * 300_000 + "z"], ids=[1, 5, 5, 8, 9]).withColumns({"digest": F.lit(1), "rep": F.lit(2), "members": F.lit(3)})).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in mixed) == [(1, 36, 1), (5, 36, 1), (5, 36, 5), (8, 1, 8), (9, 2, 9)]
     assert minhash.drop_near_copies(documents(spark, ["q w e r t y", "q w e r t y", "z"])).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 

@@ -198,6 +198,18 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(pages, patterns=()).count() == len(URLS) + 4
 
 
+def test_rules_without_tokens_run_on_every_url(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/abcnothingdef"), (2, "http://x.com/zz"), (3, "http://x.com/xnothingy?free")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(pages, host_rules=(), patterns=("*nothing*", "@@*free*")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_many_rules(spark):
+    pages = spark.createDataFrame([(k, f"http://x.com/a{k}/b") for k in range(0, 3000, 500)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(pages, host_rules=(), patterns=tuple(f"/a{k}/" for k in range(0, 3000, 3))).collect()}
+    assert got == {k: "block" if k % 3 == 0 else "allow" for k in range(0, 3000, 500)}
+
+
 def test_rules_are_indexed_by_rarest_token(spark):
     urls = spark.createDataFrame([(["page", "2", "ref", "x"],), (["page", "x", "2"],), (["x", "2"],)], "tokens array<string>")
     index = url_filters.rule_index(urls, ("^page=2^ref=x|", "*nothing*"))
