@@ -25,6 +25,7 @@ BLANK = "▁"
 class PieceCodec:
     """Encoder and decoder over the pieces and scores of a merge-type sentencepiece model with an identity normaliser."""
 
+    #: Words that a generation of the cache holds (there are two of them), and letters of the longest.
     CACHED, LONGEST = 250_000, 60
 
     def __init__(self, path: str) -> None:
@@ -49,8 +50,14 @@ class PieceCodec:
             self.search.add_word(p, (len(p), k))
         self.search.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+        #: neighbouring letters inside pieces
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.marks: dict[str, tuple[bytes, str]] = {}
+        self.letters = {p for p in self.ids if len(p) == 1}
+        #: ids and text of words: of those after one blank by the word alone, of others with their blanks; the last two generations
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+        self.shown = [None if k in bytes_ else " ⁇ " if k == self.unknown else "" if k in silent else p.replace(BLANK, " ") for k, p in enumerate(self.pieces)]
 
     def merge(self, text: str) -> list[str]:
         """The defining process: merge the neighbours whose union has the best score, leftmost first, until none is a piece."""
@@ -66,16 +73,13 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, last: int | None, piece: int) -> bool:
-        if last is None:
-            if (ok := self.alone.get(piece)) is None:
-                ok = self.alone[piece] = self.merge(self.pieces[piece]) == [self.pieces[piece]]
-            return ok
+    def compatible(self, last: int, piece: int) -> bool:
+        """Whether merging the characters of both leaves exactly the two; ``last`` -1 stands for the beginning."""
         if (ok := self.pairs.get((last, piece))) is None:
-            a, b = self.pieces[last], self.pieces[piece]
+            whole = [self.pieces[k] for k in (last, piece) if k >= 0]
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            ok = self.pairs[last, piece] = self.merge(a + b) == [a, b]
+            ok = self.pairs[last, piece] = self.merge("".join(whole)) == whole
         return ok
 
     def _backtrack(self, text: str) -> list[int]:
@@ -83,29 +87,36 @@ class PieceCodec:
         starts: list[list[tuple[int, int]]] = [[] for _ in text]
         for last, found in self.search.iter(text):
             starts[last - found[0] + 1].append(found)  # matches come by their end, so shorter ones first
-        failed, at, n = 0, 0, len(text)
+        pairs, failed, at, n, last = self.pairs, 0, 0, len(text), -1
         out: list[tuple[int, int, int]] = []  # id, length, index of the choice
-        choice = len(starts[0]) - 1
-        while at < n:
-            last = out[-1][0] if out else None
+        options = starts[0]
+        choice = len(options) - 1
+        while True:
             while choice >= 0:
-                length, piece = starts[at][choice]
-                if not failed >> (at + length) & 1 and self.compatible(last, piece):
-                    break
+                length, piece = options[choice]
+                if not (failed and failed >> (at + length) & 1):
+                    ok = pairs.get((last, piece))
+                    if ok or (ok is None and self.compatible(last, piece)):
+                        break
                 choice -= 1
             if choice >= 0:
                 out.append((piece, length, choice))
                 at += length
-                choice = len(starts[at]) - 1 if at < n else -1
+                if at == n:
+                    return [k for k, _, _ in out]
+                last, options = piece, starts[at]
+                choice = len(options) - 1
             else:
                 failed |= 1 << at
                 _, length, choice = out.pop()
                 at -= length
+                last, options = out[-1][0] if out else -1, starts[at]
                 choice -= 1
-        return [piece for piece, _, _ in out]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a run of blanks and other characters after it; characters without a piece become bytes or the unknown id."""
+        if self.letters.issuperset(word):
+            return self._backtrack(word) if word else []
         out: list[int] = []
         known = ""
         for c in word:
@@ -133,45 +144,63 @@ class PieceCodec:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
     def _surface(self, ids: list[int]) -> str:
+        parts = [self.shown[k] for k in ids]
+        if None not in parts:
+            return "".join(parts)
         out, run = [], bytearray()
-        for k in ids:
-            if (b := self.bytes.get(k)) is not None:
-                run.append(b)
+        for k, shown in zip(ids, parts, strict=True):
+            if shown is None:
+                run.append(self.bytes[k])
                 continue
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run = bytearray()
-            if k not in self.silent:
-                out.append(self.pieces[k].replace(BLANK, " "))
-            elif k == self.unknown:
-                out.append(" ⁇ ")
+            out.append(shown)
         if run:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
+    def _word(self, key: str, word: str, whole: bool = False) -> tuple[bytes, str]:
+        """Ids (as text, each after a blank) and decoded text of a word, by way of the cache.
+
+        No merge crosses two letters that no piece holds side by side, so a last mark after such a place is encoded by
+        itself and the word before it is looked up.
+        """
+        if (hit := self.older.get(key)) is None:
+            if not whole and len(word) > 2 and word[-2] != " " and word[-2:] not in self.inner:
+                body = self.words.get(key[:-1]) or self._word(key[:-1], word[:-1], True)
+                if (mark := self.marks.get(word[-1])) is None:
+                    mark = self._encoded(word[-1])
+                    if len(self.marks) < 10_000:
+                        self.marks[word[-1]] = mark
+                hit = body[0] + mark[0], body[1] + mark[1]
+            else:
+                hit = self._encoded(word)
+        if len(key) <= self.LONGEST:
+            self.words[key] = hit
+        return hit
+
+    def _encoded(self, word: str) -> tuple[bytes, str]:
+        ids = self.encode_word(word.replace(" ", BLANK))
+        return "".join([f" {k}" for k in ids]).encode(), self._surface(ids)
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, digest of the ids and of the decoded text; words are looked up in a bounded cache."""
         text = (" " if self.dummy and text else "") + text.replace(BLANK, " ")
         words = text[1:].split(" ") if self.dummy and text and "  " not in text and text != " " else None
+        if len(self.words) > self.CACHED:
+            self.older, self.words = self.words, {}
         known = self.words
-        if len(known) > self.CACHED:
-            known.clear()
-        if words is None:
+        if words is None:  # their blanks are part of the key, so they never begin like a word alone
             words = re.findall(" +[^ ]*|[^ ]+", text)
-            lead = ""
+            found = [known.get("\0" + w) or self._word("\0" + w, w) for w in words]
         else:
-            lead = " "
-        found = []
-        for w in words:
-            key = lead + w
-            if (hit := known.get(key)) is None:
-                ids = self.encode_word(key.replace(" ", BLANK))
-                hit = ("".join(f" {k}" for k in ids).encode(), self._surface(ids))
-                if len(key) <= self.LONGEST:
-                    known[key] = hit
-            found.append(hit)
-        ids = b"".join([f[0] for f in found]) + f" {self.end}".encode()
-        plain = "".join([f[1] for f in found])
+            found = list(map(known.get, words))
+            if None in found:
+                found = [self._word(w, " " + w) if hit is None else hit for w, hit in zip(words, found, strict=True)]
+        ids, parts = zip(*found, strict=True) if found else ((), ())
+        ids = b"".join(ids) + f" {self.end}".encode()
+        plain = "".join(parts)
         if self.dummy and plain.startswith(" "):
             plain = plain[1:]
         return ids.count(b" "), hashlib.sha256(ids[1:]).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
