@@ -281,3 +281,10 @@ def stream_landing(spark, sf_dir):
         _put(spark, f"{folder}/{r.r_name}.doc", b"x")
     streams.ingest(streams.landing(spark, folder), table, rejects, _folder(spark, "landing-state")).awaitTermination()
     return spark.read.parquet(table).select(F.substring_index("filename", "_", -1).alias("filename_end"), "status")
+
+
+@query("""WITH e AS (SELECT user_id AS digest, min(ts) AS cached_at FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 72 HOUR GROUP BY 1) SELECT digest, CAST(cached_at AS TIMESTAMP) AS cached_at FROM e ORDER BY cached_at DESC, digest LIMIT 60""")
+def bounded_cache(spark, sf_dir):
+    """Results that live for three days, the sixty newest."""
+    own = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("digest"), F.col("ts").alias("cached_at"), "event_id")
+    return streams.cache_after(own.filter("event_id % 2 = 0"), own.filter("event_id % 2 = 1"), "2024-01-20 00:00:00", "72 hours", 60).select("digest", "cached_at")

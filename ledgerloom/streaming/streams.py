@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.sources import readers
@@ -48,6 +49,14 @@ def first_results(results: DataFrame, at: str = "cached_at", ttl: str = "24 hour
     return results.withWatermark(at, ttl).dropDuplicatesWithinWatermark(["digest"])
 
 
+def cache_after(stored: DataFrame, arrived: DataFrame, now: str, ttl: str = "24 hours", size: int = 1000) -> DataFrame:
+    """The result cache after a batch: of both tables the rows that still live, the first per digest, and of those the
+    ``size`` newest (the oldest insertions go first, ties by digest). Meant for ``foreachBatch``."""
+    first = Window.partitionBy("digest").orderBy("cached_at")
+    every = stored.unionByName(arrived).filter(F.col("cached_at") > F.expr(f"timestamp '{now}' - interval {ttl}"))
+    return every.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r").orderBy(F.desc("cached_at"), "digest").limit(size)
+
+
 def feedback_stream(feedback: DataFrame, group: str = "model", alpha: float = 0.1) -> DataFrame:
     """W8 as a stream: per group the running rates of missed and of false scans, in order of arrival."""
 

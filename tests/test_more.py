@@ -127,3 +127,16 @@ def test_text_reports(spark):
     assert sinks.effect_report(effects).split("\n")[1].split() == ["a", "c", "-0.9000", "large"]
     intervals = spark.createDataFrame([("g", 1.0, 0.5, 1.5, 9)], "g string, point double, lower double, upper double, n long")
     assert "1.0000 [0.5000, 1.5000]" in sinks.interval_report(intervals, "g")
+
+
+def test_surfaces():
+    from ledgerloom.plans import surfaces
+
+    assert surfaces.implementation("classifier", "v1") is classify.classify_v1
+    with pytest.raises(KeyError, match="available: .*regex"):
+        surfaces.implementation("strategy", "none")
+    with pytest.raises(KeyError, match="available: .*ingestor"):
+        surfaces.implementation("none", "x")
+    surfaces.register("classifier", "own", len)
+    assert surfaces.implementation("classifier", "own") is len
+    del surfaces.SURFACES["classifier"]["own"]
