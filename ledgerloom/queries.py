@@ -624,8 +624,8 @@ def hybrid_pages(spark, sf_dir):
     return classify.hybrid_documents(pages).withColumn("scanned_ratio", F.round("scanned_ratio", 6))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(source || '.pdf'), 'scan|skc|image|jpg|png') THEN 0.7 ELSE 0.0 END AS filename_signal, CASE WHEN n_chars * 1000 > 5000000 THEN 0.4 WHEN n_chars * 1000 < 500000 THEN -0.2 ELSE 0.0 END AS size_signal,
-CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0.0 END AS type_signal FROM documents""")
+@query("""SELECT doc_id, CAST(CASE WHEN regexp_matches(lower(source || '.pdf'), 'scan|skc|image|jpg|png') THEN 0.7 ELSE 0.0 END AS DOUBLE) AS filename_signal, CAST(CASE WHEN n_chars * 1000 > 5000000 THEN 0.4 WHEN n_chars * 1000 < 500000 THEN -0.2 ELSE 0.0 END AS DOUBLE) AS size_signal,
+CAST(CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0.0 END AS DOUBLE) AS type_signal FROM documents""")
 def metadata_signals(spark, sf_dir):
     own = classify.metadata_signals(F.concat("source", F.lit(".pdf")), F.col("n_chars") * 1000, F.when(F.col("doc_id") % 2 == 0, "Utility bill").otherwise("other"))
     return views.table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in own.items()])
@@ -662,13 +662,13 @@ def detect_commodity(spark, sf_dir):
 
 
 @query(f"""WITH {I}, k AS (SELECT id, amount_inc_vat, CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS e, CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END AS w FROM invoices WHERE id % 6 IN (0, 2, 5))
-SELECT id, round(greatest(0.0, least(1.0, 1 - 0.2 * e - 0.05 * w - 0.15 * e - CASE WHEN id % 7 = 0 THEN 0.1 ELSE 0 END - CASE WHEN amount_inc_vat IS NULL THEN 0.15 ELSE 0 END)), 6) AS confidence FROM k""")
+SELECT id, CAST(greatest(0.0, least(1.0, 1 - 0.2 * e - 0.05 * w - 0.15 * e - CASE WHEN id % 7 = 0 THEN 0.1 ELSE 0 END - CASE WHEN amount_inc_vat IS NULL THEN 0.15 ELSE 0 END)) AS DOUBLE) AS confidence FROM k""")
 def regex_confidence(spark, sf_dir):
     out = extract.extract_invoices(invoice_texts(spark, sf_dir), "2025-06-30").filter("commodity IS NOT NULL")
     return out.select("id", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"WITH {_REASON} SELECT id, commodity, split_part(reason, ':', 1) AS reason, reason <> 'ok' AS escalated, CASE WHEN reason = 'ok' THEN 'text' ELSE 'vision' END AS mode, CASE WHEN reason = 'ok' THEN 0.25 ELSE 1.25 END AS cost_usd FROM reasons")
+@query(f"WITH {_REASON} SELECT id, commodity, split_part(reason, ':', 1) AS reason, reason <> 'ok' AS escalated, CASE WHEN reason = 'ok' THEN 'text' ELSE 'vision' END AS mode, CAST(CASE WHEN reason = 'ok' THEN 0.25 ELSE 1.25 END AS DOUBLE) AS cost_usd FROM reasons")
 def cascade_documents(spark, sf_dir):
     """The cascade over already read fields: the second reader fills what the first left out, at four times the price."""
 
