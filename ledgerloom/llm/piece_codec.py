@@ -26,7 +26,7 @@ class PieceCodec:
     """Encoder and decoder over the pieces and scores of a merge-type sentencepiece model with an identity normaliser."""
 
     #: Words that a generation of the cache holds (there are two of them), and letters of the longest.
-    CACHED, LONGEST = 250_000, 60
+    CACHED, LONGEST = 400_000, 60
 
     def __init__(self, path: str) -> None:
         import ahocorasick
@@ -52,11 +52,12 @@ class PieceCodec:
         self.pairs: dict[tuple[int, int], bool] = {}
         #: neighbouring letters inside pieces
         self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.marks: dict[str, tuple[bytes, str]] = {}
+        self.marks: dict[str, tuple[bytes, str | None]] = {}
         self.letters = {p for p in self.ids if len(p) == 1}
-        #: ids and text of words: of those after one blank by the word alone, of others with their blanks; the last two generations
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        #: ids of words that are decoded to themselves: of those after one blank by the word alone, of others with their blanks; the last two generations
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.spelt = [f" {k}".encode() for k in range(len(self.pieces))]
         self.shown = [None if k in bytes_ else " ⁇ " if k == self.unknown else "" if k in silent else p.replace(BLANK, " ") for k, p in enumerate(self.pieces)]
 
     def merge(self, text: str) -> list[str]:
@@ -160,49 +161,71 @@ class PieceCodec:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
-    def _word(self, key: str, word: str, whole: bool = False) -> tuple[bytes, str]:
-        """Ids (as text, each after a blank) and decoded text of a word, by way of the cache.
+    def _word(self, key: str, word: str) -> tuple[bytes, str | None]:
+        """Ids (as text, each after a blank) of a word, by way of the cache, and what they are decoded to if that is not the
+        word itself; such words are not kept.
 
-        No merge crosses two letters that no piece holds side by side, so a last mark after such a place is encoded by
-        itself and the word before it is looked up.
+        No merge crosses two letters that no piece holds side by side, so the parts between such places are looked up.
         """
-        if (hit := self.older.get(key)) is None:
-            if not whole and len(word) > 2 and word[-2] != " " and word[-2:] not in self.inner:
-                body = self.words.get(key[:-1]) or self._word(key[:-1], word[:-1], True)
-                if (mark := self.marks.get(word[-1])) is None:
-                    mark = self._encoded(word[-1])
-                    if len(self.marks) < 10_000:
-                        self.marks[word[-1]] = mark
-                hit = body[0] + mark[0], body[1] + mark[1]
-            else:
-                hit = self._encoded(word)
-        if len(key) <= self.LONGEST:
+        if (hit := self.words.get(key) or self.older.get(key)) is not None:
             self.words[key] = hit
-        return hit
-
-    def _encoded(self, word: str) -> tuple[bytes, str]:
+            return hit, None
+        cuts = [k for k in range(2, len(word)) if word[k - 1 : k + 1] not in self.inner and word[k - 1] != " "]
+        if cuts:
+            head = len(word) - len(key)
+            first = self._word(key[: cuts[0] - head], word[: cuts[0]])
+            others = [self._part(word[a:b]) for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
+            ids = first[0] + b"".join([x for x, _ in others])
+            same = first[1] is None and all([own is None for _, own in others])
+            ends = zip([0, *cuts], [*cuts, len(word)], strict=True)
+            shown = None if same else "".join([word[a:b] if own is None else own for (a, b), (_, own) in zip(ends, [first, *others], strict=True)])
+        else:
+            ids, shown = self._encoded(word)
+        if shown is None and len(cuts) < 2 and len(key) <= self.LONGEST:
+            self.words[key] = ids
+        return ids, shown
+
+    def _part(self, part: str) -> tuple[bytes, str | None]:
+        """As :meth:`_word`, for a part without blanks of a word."""
+        if len(part) > 1:
+            return self._word("\0" + part, part)
+        if (mark := self.marks.get(part)) is None:
+            mark = self._encoded(part)
+            if len(self.marks) < 10_000:
+                self.marks[part] = mark
+        return mark
+
+    def _encoded(self, word: str) -> tuple[bytes, str | None]:
         ids = self.encode_word(word.replace(" ", BLANK))
-        return "".join([f" {k}" for k in ids]).encode(), self._surface(ids)
+        shown = self._surface(ids)
+        return b"".join([self.spelt[k] for k in ids]), None if shown == word else shown
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, digest of the ids and of the decoded text; words are looked up in a bounded cache."""
-        text = (" " if self.dummy and text else "") + text.replace(BLANK, " ")
-        words = text[1:].split(" ") if self.dummy and text and "  " not in text and text != " " else None
+        text = text.replace(BLANK, " ")
+        blank = " " if self.dummy and text else ""
+        words = text.split(" ") if blank and text[0] != " " and "  " not in text else None
         if len(self.words) > self.CACHED:
             self.older, self.words = self.words, {}
-        known = self.words
+        lead = "" if words is None else " "
         if words is None:  # their blanks are part of the key, so they never begin like a word alone
-            words = re.findall(" +[^ ]*|[^ ]+", text)
-            found = [known.get("\0" + w) or self._word("\0" + w, w) for w in words]
+            words = re.findall(" +[^ ]*|[^ ]+", blank + text)
+            keys = ["\0" + w for w in words]
         else:
-            found = list(map(known.get, words))
-            if None in found:
-                found = [self._word(w, " " + w) if hit is None else hit for w, hit in zip(words, found, strict=True)]
-        ids, parts = zip(*found, strict=True) if found else ((), ())
-        ids = b"".join(ids) + f" {self.end}".encode()
-        plain = "".join(parts)
-        if self.dummy and plain.startswith(" "):
-            plain = plain[1:]
+            keys = words
+        found, changed = list(map(self.words.get, keys)), {}
+        if None in found:
+            for k, hit in enumerate(found):
+                if hit is None:
+                    found[k], shown = self._word(keys[k], lead + words[k])
+                    if shown is not None:
+                        changed[k] = shown
+        ids = b"".join(found) + f" {self.end}".encode()
+        plain = text
+        if changed:
+            plain = "".join([changed.get(k, lead + w) for k, w in enumerate(words)])
+            if self.dummy and plain.startswith(" "):
+                plain = plain[1:]
         return ids.count(b" "), hashlib.sha256(ids[1:]).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
 
 

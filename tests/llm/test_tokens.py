@@ -53,6 +53,17 @@ def test_codec_digests(spark, library, texts):
         assert got[k].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_codec_cache_gives_the_same_digests(library):
+    codec, rng = piece_codec.PieceCodec(PIECES), random.Random(6)
+    codec.CACHED, codec.LONGEST = 60, 9  # generations change all the time
+    words = [f"{a}{b}{c}" for a in ("the", "Straße", "日本", "▁x", "", "⁇", "\0the") for b in ("", ",", ".\n", "\n\nAnd", "$$$", "é.é") for c in ("", "ing", "!", "zzq")]
+    for _ in range(400):
+        t = "".join(rng.choice(words) + rng.choice((" ", " ", " ", "  ", "\n")) for _ in range(rng.randint(0, 30)))
+        ids = [*library.encode(t), library.eos_id()]
+        plain = library.decode(ids)
+        assert codec.digest(t) == (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), plain))), t
+
+
 def test_codec_edges(spark, library):
     assert piece_codec.codec_digests(spark.createDataFrame([], DOCS), PIECES).count() == 0
     rows = documents(spark, ["a b", "a b", None, "long word " * 60_000], ids=[1, 1, None, 2])
