@@ -235,8 +235,9 @@ def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str =
 
     Documents whose shingle sets have 100 * intersection >= percent * union are linked; a component's id is its smallest
     document id and that document is kept. Fewer words than a shingle form one shingle; null, empty or wordless texts
-    have no shingles, are linked with nothing and are kept. Rows of one id and equal shingles share a component; of rows of
-    one id with different texts each is judged by its own set. Null ids link with nothing (component null, not kept). Other
+    have no shingles, are linked with nothing and are kept. Rows of one id and equal shingles share a component; ids are
+    the nodes of the links, so a further text of a repeated id may get the component of the other one's near copies
+    (:func:`drop_near_copies` numbers such rows first). Null ids link with nothing (component null, not kept). Other
     columns are ignored; no rows give no rows.
     """
     banding = Banding.for_percent(percent)
