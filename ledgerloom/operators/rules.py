@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,18 +30,24 @@ def _get(fields: Column, name: str) -> Column:
     return F.nullif(F.try_element_at(fields, F.lit(name)), F.lit(""))
 
 
+def _bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of ``values``, each of which is evaluated once a row however often ``body`` reads it: Spark
+    evaluates an expression anew at each place of a condition or a lambda function."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), F.lit(0))
+
+
 def format_errors(fields: Column) -> Column:
     """D4 over a map of extracted texts: an array of codes, empty when all is well."""
-    found = []
-    for f in TAX_IDS:
-        v = _get(fields, f)
-        found.append(F.when(v.isNotNull() & ~F.trim(v).rlike(r"^\d{8}$"), f"{f}:not_8_digits"))
-    day = {f: text.safe_iso_date(_get(fields, f)) for f in DATES}
-    for f in DATES:
-        found.append(F.when(_get(fields, f).isNotNull() & day[f].isNull(), f"{f}:not_iso_date"))
+    names = (*TAX_IDS, *DATES, "amount_ex_vat", "amount_inc_vat")
+    return _bound({"fields": fields}, lambda own: _bound({f: _get(own["fields"], f) for f in names}, lambda got: _bound({f: text.safe_iso_date(got[f]) for f in DATES}, lambda day: _format_codes(got, day))))
+
+
+def _format_codes(got: Column, day: Column) -> Column:
+    found = [F.when(got[f].isNotNull() & ~F.trim(got[f]).rlike(r"^\d{8}$"), f"{f}:not_8_digits") for f in TAX_IDS]
+    found += [F.when(got[f].isNotNull() & day[f].isNull(), f"{f}:not_iso_date") for f in DATES]
     found.append(F.when(day["period_from"] >= day["period_to"], "period_from>=period_to"))
     found.append(F.when(day["issue_date"] > day["due_date"], "issue_date>due_date"))
-    ex, inc = (text.safe_float(_get(fields, f)) for f in ("amount_ex_vat", "amount_inc_vat"))
+    ex, inc = text.safe_float(got["amount_ex_vat"]), text.safe_float(got["amount_inc_vat"])
     found.append(F.when((ex > 0) & (inc < ex * 0.97), "amount_inc_vat<amount_ex_vat"))
     return F.array_compact(F.array(*found))
 
@@ -81,10 +89,19 @@ def escalation_reason(
 ) -> Column:
     """The first reason to escalate, else 'ok'. ``fields``: map of texts; ``confidence``: map of doubles;
     ``required_names``: the registry's required fields (for which low optional confidence does not count)."""
-    none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    api_error, logprob = api_error if api_error is not None else none_text, logprob if logprob is not None else none_number
-    confidence = confidence if confidence is not None else F.lit(None).cast("map<string,double>")
-    needed = required_of(commodity)
+    given = {
+        "fields": fields, "commodity": commodity, "needed": required_of(commodity),
+        "api_error": api_error if api_error is not None else F.lit(None).cast("string"),
+        "logprob": logprob if logprob is not None else F.lit(None).cast("double"),
+        "confidence": confidence if confidence is not None else F.lit(None).cast("map<string,double>"),
+    }
+    if required_names is not None:
+        given["required_names"] = required_names
+    return _bound(given, lambda own: _reason(own, own["required_names" if required_names is not None else "needed"]))
+
+
+def _reason(own: Column, settled: Column) -> Column:
+    fields, commodity, needed, logprob, confidence = (own[n] for n in ("fields", "commodity", "needed", "logprob", "confidence"))
     missing = F.filter(needed, lambda f: ~text.truthy(F.try_element_at(fields, f)))
     crossed = [
         F.when((F.lower(commodity) == c) & ~F.greatest(*[text.truthy(F.try_element_at(fields, F.lit(f))) for f in group]), "+".join(group))
@@ -95,11 +112,11 @@ def escalation_reason(
     share = F.when(F.size(values) > 0, F.size(F.filter(values, lambda v: ~text.truthy(v))) / F.size(values)).otherwise(1.0)
     limit = _by_commodity(commodity, {c: F.lit(v) for c, v in NULL_THRESHOLDS.items()}, F.lit(NULL_DEFAULT))
     low = F.filter(needed, lambda f: F.coalesce(F.try_element_at(confidence, f) < REQUIRED_CONFIDENCE, F.lit(False)))
-    optional = F.array_except(F.map_keys(fields), required_names if required_names is not None else needed)
-    doubted = F.filter(optional, lambda f: text.truthy(F.try_element_at(fields, f)) & F.coalesce(F.try_element_at(confidence, f) < OPTIONAL_CONFIDENCE, F.lit(False)))
+    unsure = F.map_filter(fields, lambda f, v: text.truthy(v) & F.coalesce(F.try_element_at(confidence, f) < OPTIONAL_CONFIDENCE, F.lit(False)))
+    doubted = F.array_except(F.map_keys(unsure), settled)
     shape, sums = format_errors(fields), arithmetic_errors(fields, commodity)
     return F.coalesce(
-        F.when(text.truthy(api_error), "api_error"),
+        F.when(text.truthy(own["api_error"]), "api_error"),
         F.when(F.size(missing) > 0, F.concat(F.lit("required_missing:"), F.array_join(missing, ","))),
         F.concat(F.lit("cross_field:at_least_one_null:"), F.coalesce(*crossed)),
         F.when(share > limit, F.format_string("high_null:%.2f>%s", share, limit.cast("string"))),

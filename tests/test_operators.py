@@ -51,6 +51,16 @@ def test_escalation(spark):
     assert [r.r for r in got] == [r[5] for r in ESCALATE]
 
 
+def test_escalation_makes_its_map_once_a_row(spark):
+    """The map is an expression; each place that evaluates it anew costs as much as the first."""
+    rows = [(1, "1", "2024-13-01", "x"), (2, "1", "2024-01-02", "x"), (3, "", None, "x"), (4, "1", "2024-01-02", None), (5, None, None, "voda")]
+    df = spark.createDataFrame(rows, "k int, number string, due string, commodity string")
+    made = F.when(F.col("k") < 5, F.map_from_arrays(F.array(F.lit("invoice_number"), F.lit("due_date")), F.array("number", "due")))
+    out = df.select("k", rules.escalation_reason(made, F.col("commodity"), confidence=F.create_map(F.lit("due_date"), F.when(F.col("k") == 4, 0.1)), required_names=F.array(F.lit("due_date"))).alias("r"))
+    assert out._jdf.queryExecution().analyzed().toString().count("map_from_arrays(") == 1
+    assert [r.r for r in out.orderBy("k").collect()] == ["format_error:due_date:not_iso_date", "ok", "required_missing:invoice_number", "ok", "required_missing:invoice_number,amount_inc_vat,consumption_vodne_m3,period_from"]
+
+
 def test_gas_balance(spark):
     rows = [({"consumption_m3": "100", "consumption_mwh": "1,1", "conversion_coefficient": "1.05", "combustion_heat": "10.5"},), ({"consumption_m3": "100", "consumption_mwh": "9", "conversion_coefficient": "2", "combustion_heat": "38"},)]
     got = spark.createDataFrame(rows, "f map<string,string>").select(rules.arithmetic_errors(F.col("f"), F.lit("plyn_MO"))).collect()
