@@ -1,5 +1,8 @@
 import datetime as dt
+import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,32 @@ def test_similarity(spark):
     assert [tuple(r) for r in rows] == [(True, 0.0, 0.5), (False, 0.3333, 1.0), (True, 0.0, 0.0), (False, None, None)]
 
 
+def _plain_distance(p, q):
+    row = list(range(len(q) + 1))
+    for i, u in enumerate(p, 1):
+        diagonal, row[0] = row[0], i
+        for j, v in enumerate(q, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (u != v))
+    return row[-1]
+
+
+def test_edit_distance_is_that_of_the_plain_table():
+    r = random.Random(5)
+    for _ in range(600):
+        p, q = ([str(r.randrange(4)) for _ in range(r.randint(0, 20))] for _ in range(2))
+        near = [x for x in p if r.random() > 0.1] + ["9"] * r.randint(0, 2)
+        assert [similarity.edit_distance(p, x, b) for x in (q, near) for b in (1, 3, 8192)] == [_plain_distance(p, x) for x in (q, near) for _ in range(3)]
+
+
+def test_word_error_rate_of_long_texts():
+    """Texts of 30,000 words: the last one changed, the first one missing, every one another, turned round. The whole table would be filled for minutes."""
+    words = [str(k) for k in range(30_000)]
+    others = [[*words[:-1], "#"], words[1:], ["x"] * 30_000, words[::-1]]
+    began = time.perf_counter()
+    got = similarity.word_error_rate.func(pd.Series([" ".join(words)] * 4), pd.Series([" ".join(x) for x in others]))
+    assert list(got) == [1 / 30_000, 1 / 30_000, 1.0, 1.0] and time.perf_counter() - began < 30
+
+
 @pytest.mark.parametrize(("commodity", "n"), [("elektrina_nn", 14), ("elektrina_vn", 26), ("plyn_MO", 25), ("plyn_vo", 25), ("teplo", 17), ("voda", 15), ("other", 11)])
 def test_registry(commodity, n):
     assert len(fields.fields_of(commodity)) == n
