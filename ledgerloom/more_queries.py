@@ -573,9 +573,9 @@ def escalation_shares(spark, sf_dir):
     filled = F.array_union(F.array_union(needed, F.array(F.lit("note"), F.lit("consumption_high_tariff"))), F.transform(F.sequence(F.lit(1), F.lit(8) - F.size(needed)), lambda k: F.concat(F.lit("f"), k.cast("string"))))
     empty = F.when(F.col("id") % 5 > 0, F.transform(F.sequence(F.lit(1), (F.col("id") % 5 * 10).cast("int")), lambda k: F.concat(F.lit("e"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
     names = F.concat(filled, empty)
-    values = F.transform(names, lambda n: F.when(n.rlike("^e"), F.lit(None).cast("string")).when(n.isin("period_from"), "2024-01-01").when(n.isin("period_to"), "2024-12-31").when(n == "consumption_gj", "12").otherwise("x"))
+    value = lambda n: F.when(n.startswith("e"), F.lit(None).cast("string")).when(n == "period_from", "2024-01-01").when(n == "period_to", "2024-12-31").when(n == "consumption_gj", "12").otherwise("x")
     sure = F.create_map(F.lit("note"), F.when(F.col("id") % 3 == 0, 0.4).otherwise(0.9))
-    reason = rules.escalation_reason(F.map_from_arrays(names, values), F.col("commodity"), confidence=sure)
+    reason = rules.escalation_reason(F.map_from_entries(F.transform(names, lambda n: F.struct(n, value(n)))), F.col("commodity"), confidence=sure)
     return views.invoices(spark, sf_dir).select("id", reason.alias("reason"))
 
 
