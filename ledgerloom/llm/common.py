@@ -91,6 +91,13 @@ def trim_memory() -> None:
         pass
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage, one task a core: else a heap that grew in one stage stays as large
+    beside the Python workers of the next ones, though little of it is alive."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 #: What workers keep between tasks, by the operator that it belongs to: how to let go of it.
 CACHES: dict[str, Callable[[], None]] = {}
 

@@ -12,6 +12,7 @@ others share its part from then on, with new counters.
 from __future__ import annotations
 
 import array
+import itertools
 import json
 import os
 import re
@@ -57,18 +58,27 @@ def byte_letters() -> list[str]:
 
 
 class Chunks(dict):
-    """Ids by chunk; a chunk that is looked up first is encoded, and kept unless it is long."""
+    """Ids by chunk; a chunk that is looked up first is encoded, and kept unless it is long. Two generations are kept: what
+    is looked up again when the newer one is full moves on to the next."""
 
     def __init__(self, encode: Callable[[str], bytes], longest: int) -> None:
         super().__init__()
         self.encode, self.longest = encode, longest
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+        if (ids := self.before.get(chunk)) is None:
+            ids = self.encode(chunk)
         if len(chunk) <= self.longest:
             self[chunk] = ids
         return ids
 
+    def bound(self, most: int) -> None:
+        """Begin a generation if there are more than ``most`` in this one."""
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
 
 class ChunkTokenizer:
     """Exact ids of whole texts by way of bounded caches of chunks between blanks and of the words in them.
@@ -78,7 +88,9 @@ class ChunkTokenizer:
     through the whole tokenizer.
     """
 
-    CHUNKS, WORDS, LONGEST = 400_000, 400_000, 40
+    CHUNKS, WORDS, LONGEST = 20_000, 100_000, 40
+    #: Bytes of texts that are cut into chunks at once, but for a text that is longer.
+    PART = 1 << 21
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,12 +139,19 @@ class ChunkTokenizer:
     def encode(self, texts: pa.Array, end: int | None) -> pa.Array:
         """Each text's ids as little-endian integers of ``width``, with ``end`` after them; null is empty.
 
-        A batch is cut into chunks at once; each distinct word is looked up once, and the ids are gathered by number. A-Z are
-        lower-cased before, as the tokenizer would do.
+        A batch goes through in parts of ``PART`` bytes, which bounds what a worker holds besides the ids.
+        """
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(lengths) - lengths) // self.PART
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([self._encode(texts[a:b], end) for a, b in itertools.pairwise(cuts)])
+
+    def _encode(self, texts: pa.Array, end: int | None) -> pa.Array:
+        """Ids of one part: it is cut into chunks at once; each distinct word is looked up once, and the ids are gathered by
+        number. A-Z are lower-cased before, as the tokenizer would do.
         """
-        for cache, most in ((self.known, self.CHUNKS), (self.words, self.WORDS)):
-            if len(cache) > most:
-                cache.clear()
+        self.known.bound(self.CHUNKS)
+        self.words.bound(self.WORDS)
         low = pc.ascii_lower(pc.fill_null(texts, "")) if self.by_word else pc.fill_null(texts, "")
         lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         numbered = lists.flatten().dictionary_encode()
@@ -354,7 +373,7 @@ def pack_documents(
         for batch in batches:
             ids, texts, sources = (batch.column(k) for k in range(3))
             packed = own.encode(texts, end_id)
-            n = (np.diff(np.frombuffer(packed.buffers()[1], np.int64)) // size).tolist()
+            n = (pc.binary_length(packed).to_numpy(zero_copy_only=False) // size).tolist()
             starts = []
             for s, k in zip(queues := [REST if s is None else s for s in sources.to_pylist()], n, strict=True):
                 starts.append(sums.get(s, 0))
@@ -375,15 +394,14 @@ def pack_documents(
     target = {q: 1.0 if targets == EQUAL else (targets or {}).get("" if q == REST else q, 0.0) for q, _ in found}
     found.sort(key=lambda e: (not target[e[0]], -e[1], e[0]))
     plan, paths = Schedule.tiered([n for _, n in found], None if targets is None else [target[q] for q, _ in found], window)
-    numbers = spark.createDataFrame([(q, k) for k, (q, _) in enumerate(found)], "queue string, k int")
+    # By Arrow, for rows of plain Python would start workers of their own beside those that have texts.
+    numbers = spark.createDataFrame(pa.table({"queue": pa.array([q for q, _ in found], pa.string()), "k": pa.array(range(len(found)), pa.int32())}))
     sums = sums.join(F.broadcast(numbers) if len(found) <= BROADCAST_SUMS else numbers, "queue")
     told = spark.sparkContext.broadcast((plan, paths))
     before = Window.partitionBy("k").orderBy("tag", "queue").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sums.select("queue", "tag", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = tokenizer_at(tokenizer).width
-        size = np.dtype(width).itemsize
         near: dict[int, int] = {}
         plan, paths = told.value
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
@@ -391,7 +409,8 @@ def pack_documents(
             out: list[list] = [[] for _ in OUT]
             doc, src, ids, n, k, first = (batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "n", "k", "first"))
             for d, s, packed, m, q, at in zip(doc, src, ids, n, k, first, strict=True):
-                wide = packed if size == 4 else np.frombuffer(packed, width).astype("<u4").tobytes()
+                size = len(packed) // m if m else 4  # bytes an id: no tokenizer is needed here, so workers let go of it
+                wide = packed if size == 4 else np.frombuffer(packed, "<u2").astype("<u4").tobytes()
                 for start, length, sequence, offset in plan.pieces(paths[q], at, m, near.get(q, 0)) if m else ():
                     row = (d, s, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), m, sequence, offset, packed[start * size : (start + length) * size])
                     for column, value in zip(out, row, strict=True):
@@ -402,7 +421,7 @@ def pack_documents(
     if sums.count() <= BROADCAST_SUMS:
         firsts = F.broadcast(firsts)
     placed = tokens.join(firsts, ["queue", "tag"]).select("doc_id", "source", "ids", "n", "k", (F.col("first") + F.col("start")).alias("first"))
-    return placed.mapInArrow(lean(place, "tokens"), ", ".join(f"{c} {t}" for c, t in zip(OUT, ["long", "string", *["long"] * 6, "binary"], strict=True)))
+    return placed.mapInArrow(lean(place), ", ".join(f"{c} {t}" for c, t in zip(OUT, ["long", "string", *["long"] * 6, "binary"], strict=True)))
 
 
 OUT = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

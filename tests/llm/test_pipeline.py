@@ -87,3 +87,14 @@ def test_every_stage_with_awkward_rows(spark, tmp_path):
         assert bool(packed) == (name == "some")
         if name == "some":
             assert sorted(r.text for r in left.collect()) == sorted([b, a + " end"])
+
+
+def test_stages_begin_without_the_garbage_of_those_before(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    docs = documents(spark, [prose(1, 60), prose(2, 60)])
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    for _, stage in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in whole)
+        stage(spark, docs, str(tmp_path))
+        assert sum(b.getCollectionCount() for b in whole) > before

@@ -89,6 +89,18 @@ def test_chunks_equal_whole_texts(texts):
         assert np.frombuffer(ids, own.width).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_worker_holds_few_words_of_many():
+    own, spelt = packing.ChunkTokenizer(WORDS), str.maketrans("0123456789", "etaoinshrd")
+    own.CHUNKS = own.WORDS = 2_000
+    own.PART = 1 << 14
+    words = [str(10_000_000 + 997 * k).translate(spelt) for k in range(30_000)]
+    every = [" ".join(words[k : k + 100]) + " the And, x-1" for k in range(0, 25_000, 100)] + [None, "", " ".join(words[25_000:])]
+    got = own.encode_batch(every, 2)
+    assert len(own.words) + len(own.words.before) < 15_000
+    for t, ids in zip(every, got, strict=True):
+        assert np.frombuffer(ids, own.width).tolist() == [*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+
+
 @pytest.mark.parametrize("targets", [None, {"s0": 0.6, "s1": 0.3, "s2": 0.1, "": 0.05}])
 def test_packing(spark, texts, targets):
     from tokenizers import Tokenizer
