@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import io_queries
 from ledgerloom.functions import fields, registered, similarity, text
 from ledgerloom.operators import classify, evaluate, layout, retrieve, stats
+from ledgerloom.queries import ORACLES
 from ledgerloom.sources import readers, sinks
 
 
@@ -103,6 +105,23 @@ def test_registered_functions(spark):
     assert tuple(row.i) == (point, low, high)
 
 
+def test_sql_functions_equal_their_sql_on_odd_texts(spark, tmp_path):
+    """Last words that already are '#', other white space than blanks and line feeds, no words, no text, decomposed letters, marks, ligatures."""
+    rng = random.Random(6)
+    odd = {
+        "a b #\n": ("a b #", "a b #\n", 0.333333333), "#": ("#", "#", 1.0), "a\tb c\r\n": ("a b c", "a\tb c\r\n", 0.5), "": ("", "", None), " \n": ("", " \n", 1.0), None: (None, None, None),
+        "\u00a0A\u00a0b\u2028": ("a\u00a0b\u2028", "\u00a0a\u00a0b\u2028", 1.0), "e\u0301 \ufb01 \u00bd": ("e\u0301 \ufb01 \u00bd", "e \ufb01 \u00bd", 0.333333333), "\u039f\u03a3 \u0130": ("\u03bf\u03c3 i", "\u03bf\u03c3 i", 0.5), "x" * 200_000: ("x" * 200, "x" * 200, 1.0),
+    }
+    texts = [*odd, *("".join(rng.choice("aB# \n\t\r\x0b\u00a0\u2028\u0301\u00c9\u03a3\u0130\ufb01\u0903") for _ in range(rng.randrange(12))) for _ in range(2000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in io_queries.sql_functions(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert [r[1:] for r in got[: len(odd)]] == list(odd.values())
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as oracle:
+        oracle.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert got == oracle.execute(f"{ORACLES['sql_functions']} ORDER BY doc_id").fetchall()
+
+
 def test_truth_record_of_every_commodity(spark):
     truth = spark.createDataFrame([("x", " 7 ", "1,5", None)], "pdf string, invoice_number string, total_amount_ex_vat string, due_date string")
     for c in fields.COMMODITIES:
